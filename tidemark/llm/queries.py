@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, packing
+from pyspark.sql import functions as F
+
+from . import bpe, language, packing, quality
 from .common import table
 
 
@@ -20,9 +22,21 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_quality_rules(spark, sf_dir):
+    return quality.rules(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    model = language.fit(docs, "doc_id", "text", "lang")
+    found = language.page_evidence(table(spark, sf_dir, "pages")).withColumnRenamed("doc_id", "page_doc")
+    docs = docs.join(found, F.col("doc_id") == F.col("page_doc"), "left")
+    return language.identify(docs, model, host=F.coalesce("address", "source"), declared=F.col("declared"), address=F.col("address"), carry=["doc_id"])
+
+
 def queries():
-    return {f.__name__: f for f in (op2_best_fit_packing, op10_bpe)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op6_quality_rules, op7_language_id, op10_bpe)}
 
 
 def oracle_sql():
-    return {}
+    return {"op6_quality_rules": quality.SQL}
