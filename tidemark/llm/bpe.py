@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_rows
-from .tokens import word_table
+from .tokens import WordTable, encoder
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -22,7 +22,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Other columns are left out."""
 
     def fn(ids, texts):
-        return {id_col: ids, "ids": [np.frombuffer(b, "<u4").astype("i4") for b in word_table(path, True).encode(texts)]}
+        return {id_col: ids, "ids": [np.frombuffer(b, "<u4").astype("i4") for b in encoder(WordTable, path).encode(texts)]}
 
     kind = dict(docs.dtypes)[id_col]
     return map_rows(docs, f"{id_col} {kind}, ids array<int>", fn, [id_col, text_col])
@@ -30,7 +30,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def pieces(path: str) -> list[str]:
     """The id-to-piece table: as long as the vocabulary, whatever the corpus."""
-    t = word_table(path, True).tokenizer
+    t = encoder(WordTable, path).tokenizer
     return [t.id_to_token(i) for i in range(t.get_vocab_size())]
 
 
@@ -58,7 +58,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """Per row: n_tokens, ids_sha256, decoded_sha256; ids and decoded text never leave the task."""
 
     def fn(ids, texts):
-        enc, at = word_table(path, True).encode(texts), _pieces_of(path).__getitem__
+        enc, at = encoder(WordTable, path).encode(texts), _pieces_of(path).__getitem__
         return {
             id_col: ids,
             "n_tokens": [len(b) // 4 for b in enc],

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialize
-from .tokens import word_table
+from .tokens import ByteEncoder, encoder
 
 #: Pieces that one task of the ranking sorts, about.
 ROWS_PER_RANK_TASK = 500_000
@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
 
     def fn(ids, texts):
         rows = []
-        for key, b in zip(ids, word_table(path, False).encode(texts)):
+        for key, b in zip(ids, encoder(ByteEncoder, path).encode(texts)):
             b += end_id.to_bytes(4, "little")
             n = len(b) // 4
             start, length = 0, (n - 1) % capacity + 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, language, packing, quality
+from . import bpe, fingerprints, language, packing, quality, secrets
 from .common import table
 
 
@@ -18,10 +18,18 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_fingerprints(spark, sf_dir):
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_secret_scan(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality.rules(table(spark, sf_dir, "documents"))
 
@@ -35,7 +43,7 @@ def op7_language_id(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_best_fit_packing, op6_quality_rules, op7_language_id, op10_bpe)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_secret_scan, op6_quality_rules, op7_language_id, op8_fingerprints, op10_bpe)}
 
 
 def oracle_sql():
