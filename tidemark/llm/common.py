@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -64,6 +64,11 @@ def small(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa
             yield b.slice(i, step)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` with `value` evaluated once: a lambda's body would evaluate an outer expression for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node that each node reaches over undirected `links`.
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import let, materialize
 
 K, WORDS = 128, 5
 LAST = (1 << 63) - 1
@@ -22,7 +22,7 @@ LAST = (1 << 63) - 1
 def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
     """array<bigint>; null text counts as empty. Words are what white space parts."""
     split = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-    return sketch_words(split, k, words)
+    return let(split, lambda w: sketch_words(w, k, words))
 
 
 def sketch_words(split: Column, k: int = K, words: int = WORDS) -> Column:
@@ -37,18 +37,24 @@ def _limit(a: Column, k: int) -> Column:
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Estimated share of shingles in both among those in either; two empty sketches are alike (1)."""
-    top = F.least(_limit(a, k), _limit(b, k))
-    both = F.size(F.filter(F.array_intersect(a, b), lambda x: x <= top))
-    every = F.size(F.filter(F.array_union(a, b), lambda x: x <= top))
-    return F.when(every == 0, F.lit(1.0)).otherwise(both / every)
+
+    def share(top: Column) -> Column:
+        both = F.size(F.filter(F.array_intersect(a, b), lambda x: x <= top))
+        every = F.size(F.filter(F.array_union(a, b), lambda x: x <= top))
+        return F.when(every == 0, F.lit(1.0)).otherwise(both / every)
+
+    return let(F.least(_limit(a, k), _limit(b, k)), share)
 
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
     """Estimated share of a's shingles that b has; of an empty a: 1."""
-    top = F.least(_limit(a, k), _limit(b, k))
-    both = F.size(F.filter(F.array_intersect(a, b), lambda x: x <= top))
-    own = F.size(F.filter(a, lambda x: x <= top))
-    return F.when(own == 0, F.lit(1.0)).otherwise(both / own)
+
+    def share(top: Column) -> Column:
+        both = F.size(F.filter(F.array_intersect(a, b), lambda x: x <= top))
+        own = F.size(F.filter(a, lambda x: x <= top))
+        return F.when(own == 0, F.lit(1.0)).otherwise(both / own)
+
+    return let(F.least(_limit(a, k), _limit(b, k)), share)
 
 
 def distinct_count(a: Column, k: int = K) -> Column:

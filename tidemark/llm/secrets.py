@@ -15,6 +15,8 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -134,13 +136,21 @@ def _spans(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(rule.pattern), F.aggregate(parts, begin, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
 
 
+def _kinded(i: int):  # a lambda with a default would be taken for one with an index
+    return lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end"))
+
+
+def _is(i: int):
+    return lambda x: x["kind"] == i
+
+
 def candidates(docs: DataFrame, keys: list[str], text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
     """(keys, rules): the numbers of the rules whose trigram queries the document meets; documents with none are left out."""
     queries = {i: query(r.pattern) for i, r in enumerate(rules)}
     queries = {i: q for i, q in queries.items() if q}
     grams = sorted({t for q in queries.values() for c in q for way in c for t in way})
-    has = F.filter(F.array(*[F.lit(t) for t in grams]), lambda t: F.contains(F.col("_low"), t))
-    postings = docs.select(*keys, F.lower(text_col).alias("_low")).select(F.explode(has).alias("gram"), *keys)
+    has = let(F.lower(text_col), lambda low: F.filter(F.array(*[F.lit(t) for t in grams]), lambda t: F.contains(low, t)))
+    postings = docs.select(F.explode(has).alias("gram"), *keys)
     lists = postings.groupBy(*keys).agg(F.collect_set("gram").alias("grams"))
 
     def meets(q: Query) -> Column:
@@ -172,7 +182,7 @@ def scan(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", rules
     kind = "array<struct<start:int,kind:int,end:int>>"
     parts = []
     for i, r in enumerate(rules):
-        got = F.transform(_spans(text, r), lambda x, i=i: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end")))
+        got = F.transform(_spans(text, r), _kinded(i))
         parts.append(got if not query(r.pattern) else F.when(F.array_contains("met", i), got).otherwise(F.array().cast(kind)))
     return out.select(*[F.col(c) for c in names], F.array_sort(F.concat(*parts)).alias("found"))
 
@@ -185,7 +195,7 @@ def written(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row: id, n_assign, n_access, n_hex, base_sha256 and spans."""
     out = scan(docs.select(id_col, text_col), text_col, id_col, rules)
-    counts = [F.size(F.filter("found", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{r.name}") for i, r in enumerate(BASE)]
+    counts = [F.size(F.filter("found", _is(i))).cast("long").alias(f"n_{r.name}") for i, r in enumerate(BASE)]
     base = F.filter("found", lambda x: x["kind"] < len(BASE))
     return out.select(id_col, *counts, F.sha2(written(base, rules).cast("binary"), 256).alias("base_sha256"), written(F.col("found"), rules).alias("spans"))
 
