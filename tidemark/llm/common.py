@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,7 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         d = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(d)
+    d = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub(r"^file:/+", "file:///", d).rstrip("/")  # a full URI, which Arrow reads too
 
 
 def new_dir(spark: SparkSession, name: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language, packing, quality, secrets
+from . import bpe, fingerprints, language, packing, quality, secrets, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op3_secret_scan(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark, sf_dir):
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality.rules(table(spark, sf_dir, "documents"))
 
@@ -43,8 +47,8 @@ def op7_language_id(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_secret_scan, op6_quality_rules, op7_language_id, op8_fingerprints, op10_bpe)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_secret_scan, op4_warc, op6_quality_rules, op7_language_id, op8_fingerprints, op10_bpe)}
 
 
 def oracle_sql():
-    return {"op6_quality_rules": quality.SQL}
+    return {"op4_warc": warc.SQL, "op6_quality_rules": quality.SQL}
