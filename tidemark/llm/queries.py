@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language, packing, quality, secrets, warc
+from . import bpe, fingerprints, language, neardup, packing, quality, secrets, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op4_warc(spark, sf_dir):
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op5_minhash_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality.rules(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op7_language_id(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_secret_scan, op4_warc, op6_quality_rules, op7_language_id, op8_fingerprints, op10_bpe)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_secret_scan, op4_warc, op5_minhash_near_duplicates, op6_quality_rules, op7_language_id, op8_fingerprints, op10_bpe)}
 
 
 def oracle_sql():
