@@ -68,6 +68,20 @@ def small(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa
             yield b.slice(i, step)
 
 
+def grouped(parts, keys: int):
+    """Rows of sorted batches as lists, a group of equal first `keys` columns at a time."""
+    key, rows = None, []
+    for b in parts:
+        for r in zip(*(c.to_pylist() for c in b.columns)):
+            if r[:keys] != key:
+                if rows:
+                    yield key, rows
+                key, rows = r[:keys], []
+            rows.append(r[keys:])
+    if rows:
+        yield key, rows
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` with `value` evaluated once: a lambda's body would evaluate an outer expression for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)

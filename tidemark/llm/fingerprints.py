@@ -8,8 +8,6 @@ estimated from those; where neither sketch is full, they are exact.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,20 +78,19 @@ def text_of(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lower(F.hex(x))), ",")
 
 
+KEY = ["z", "k", "tie"]
+
+
 def _next(keys: DataFrame) -> DataFrame:
-    """For each distinct (id, tie) the following one in that order, the first after the last, without one global sort task."""
-    at = materialize(keys.distinct().repartitionByRange("id", "tie").withColumn("part", F.spark_partition_id()), "order")
-    own = F.struct("id", "tie")
+    """For each distinct key the following one in that order, the first after the last, without one global sort task."""
+    at = materialize(keys.distinct().repartitionByRange(*KEY).withColumn("part", F.spark_partition_id()), "order")
+    own = F.struct(*KEY)
     firsts = at.groupBy("part").agg(F.min(own).alias("first"))  # as many rows as there are partitions
     every = Window.orderBy("part")
     start = F.first("first").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     firsts = firsts.select("part", F.coalesce(F.lead("first").over(every), start).alias("after"))
-    lead = F.lead(own).over(Window.partitionBy("part").orderBy("id", "tie"))
-    return at.withColumn("next", lead).join(firsts, "part").select("id", "tie", "n", F.coalesce("next", "after").alias("next"))
-
-
-def _same(pairs: list[tuple[str, str]]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in pairs])
+    lead = F.lead(own).over(Window.partitionBy("part").orderBy(*KEY))
+    return at.withColumn("next", lead).join(firsts, "part").select(*KEY, "n", F.coalesce("next", "after").alias("next"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -103,15 +100,17 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     (id, hash of the text), nulls first. Rows equal in both count as one document and get the same result.
     A null text counts as empty. An only document is its own next. Other columns are left out.
     """
+    kind = dict(docs.dtypes)[id_col]
+    blank = F.lit("" if kind == "string" else 0).cast(kind)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    src = src.withColumn("tie", F.xxhash64("text"))
-    nexts = _next(src.select("id", "tie", F.char_length("text").alias("n")))
-    wants = nexts.select(F.col("next.id").alias("_id"), F.col("next.tie").alias("_tie"), F.col("id").alias("to_id"), F.col("tie").alias("to_tie"), F.floor(F.col("n") / 4).cast("int").alias("m"))
-    gives = src.withColumn("next_sketch", sketch(F.col("text"), k)).join(wants, _same([("id", "_id"), ("tie", "_tie")]))
-    gives = gives.select("to_id", "to_tie", F.expr("substring(text, 1, m)").alias("head"), "next_sketch")
-    w = Window.partitionBy("to_id", "to_tie").orderBy("head")
-    gives = gives.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    out = src.join(gives, _same([("id", "to_id"), ("tie", "to_tie")]))
+    # keys without nulls, so that joins and windows agree on one partitioning; nulls come first
+    src = src.select("id", F.col("id").isNotNull().alias("z"), F.coalesce("id", blank).alias("k"), F.xxhash64("text").alias("tie"), "text")
+    nexts = _next(src.select(*KEY, F.char_length("text").alias("n")))
+    wants = nexts.select(*[F.col(f"next.{c}").alias(c) for c in KEY], *[F.col(c).alias(f"to_{c}") for c in KEY], F.floor(F.col("n") / 4).cast("int").alias("m"))
+    # both joins read the texts by the same key, so they are shuffled once
+    gives = src.join(wants, KEY).select(*[F.col(f"to_{c}").alias(c) for c in KEY], F.expr("substring(text, 1, m)").alias("head"), sketch(F.col("text"), k).alias("next_sketch"))
+    gives = gives.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy("head"))).where("_n = 1").drop("_n")
+    out = src.join(gives, KEY)
     out = out.select(
         "id",
         F.char_length("text").alias("n_chars"),

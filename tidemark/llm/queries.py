@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language, neardup, packing, quality, secrets, warc
+from . import bpe, fingerprints, language, neardup, packing, passages, quality, secrets, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op8_fingerprints(spark, sf_dir):
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return passages.report(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -51,7 +55,7 @@ def op7_language_id(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_secret_scan, op4_warc, op5_minhash_near_duplicates, op6_quality_rules, op7_language_id, op8_fingerprints, op10_bpe)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_secret_scan, op4_warc, op5_minhash_near_duplicates, op6_quality_rules, op7_language_id, op8_fingerprints, op9_substring_dedup, op10_bpe)}
 
 
 def oracle_sql():
