@@ -107,15 +107,16 @@ def identify(
     size = len(langs)
     carry = list(docs.columns) if carry is None else carry
     none = F.lit(None).cast("string")
+    inside = text_col in carry  # then the text travels once, in the row
     src = docs.select(
         F.struct(*[F.col(c) for c in carry]).alias("row"),
-        F.col(text_col).alias("text"),
+        *([] if inside else [F.col(text_col).alias("text")]),
         (none if host is None else host).alias("host"),
         F.lower(F.regexp_extract(none if declared is None else declared, "^[A-Za-z]{2,3}", 0)).alias("declared"),
         F.lower(none if address is None else address).alias("address"),
     )
     src = src.withColumn("suffix", F.regexp_extract("address", r"\.([a-z]+)$", 1)).withColumn("domain", F.coalesce(F.nullif(F.regexp_extract("address", r"([^.]+\.[a-z]+)$", 1), F.lit("")), F.col("host")))
-    names = ["row", "text", "host", "declared", "suffix", "domain"]
+    names = ["row", *([] if inside else ["text"]), "host", "declared", "suffix", "domain"]
     schema = src.select(names).schema.add("ll", ArrayType(DoubleType())).add("n_trigrams", LongType()).add("guess", IntegerType())
 
     def run(batches):
@@ -124,16 +125,12 @@ def identify(
         from .common import small
 
         for b in small(batches):
-            ll, n = likelihoods(table, b.column(1).to_pylist())
+            ll, n = likelihoods(table, (b.column(0).field(text_col) if inside else b.column(1)).to_pylist())
             guess = np.where(n > 0, ll.argmax(axis=1), size)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(ll), pa.list_(pa.float64())), pa.array(n.astype("i8")), pa.array(guess.astype("i4"))], names=[*names, "ll", "n_trigrams", "guess"])
 
     base = src.select(names).mapInArrow(run, schema)
-    if text_col not in carry:
-        base = base.drop("text")
-    else:  # the text travels once, inside the row
-        base = base.withColumn("text", F.lit(None).cast("string"))
-    base = materialize(base, "likelihoods")
+    base = materialize(base.drop("text"), "likelihoods")
 
     seen = base.where(F.col("guess") < size)
     uniform = F.array(*[F.lit(1.0 / size)] * size)

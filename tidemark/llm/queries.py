@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language, neardup, packing, passages, quality, secrets, warc
+from . import bpe, fingerprints, language, neardup, packing, passages, quality, secrets, suffixes, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -55,7 +59,7 @@ def op7_language_id(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_secret_scan, op4_warc, op5_minhash_near_duplicates, op6_quality_rules, op7_language_id, op8_fingerprints, op9_substring_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_secret_scan, op4_warc, op5_minhash_near_duplicates, op6_quality_rules, op7_language_id, op8_fingerprints, op9_substring_dedup, op10_bpe)}
 
 
 def oracle_sql():
