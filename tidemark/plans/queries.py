@@ -307,8 +307,6 @@ def agg_first_last(t):
 
 # --- time series ------------------------------------------------------------------------------
 
-HOURLY = {"n": F.count("*"), "mean": F.avg("value")}
-
 
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS ts, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def range_group(t):
