@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +59,18 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[..., dict], columns: list[
     return df.select(*columns).mapInArrow(run, out)
 
 
+@contextmanager
+def wide_rows(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Jobs inside send at most `rows` rows at a time to Python: for rows that hold several texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about `most` bytes; a longer row comes alone."""
     for b in batches:

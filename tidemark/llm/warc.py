@@ -90,7 +90,7 @@ def convert(fields: dict, block: bytes) -> tuple[dict[str, str], bytes]:
     """The WARC headers and block equivalent to an ARC record."""
     head, payload = payload_of(block)
     digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    date = datetime.strptime(fields["date"][:14].ljust(14, "0"), "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+    date = datetime.strptime(fields["date"][:14] + "00000101000000"[len(fields["date"][:14]) :], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
     kind = "response" if head else "metadata" if fields["type"] == "text/anvl" else "resource"
     headers = {
         "WARC-Type": kind,
