@@ -64,6 +64,9 @@ def test_bpe(spark, library):
         want[i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()] += 1
     assert got == want
     enc = bpe.encode(frame(spark, rows), path)
+    more = rows + [(600, "a <|endoftext|> b"), (601, "x\u2003y\u00a0z\x1cw")]
+    plain = lambda df: Counter((r[0], tuple(r[1])) for r in df.collect())
+    assert plain(bpe.encode_joined(frame(spark, more), path)) == plain(bpe.encode(frame(spark, more), path))
     back = Counter(tuple(r) for r in bpe.decode(enc, path).collect())
     assert back == Counter((i, lib.decode(lib.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False)) for i, t in rows)
     assert bpe.digests(frame(spark, rows).where("false"), path).count() == 0

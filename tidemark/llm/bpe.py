@@ -12,8 +12,9 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, materialize
 from .tokens import WordTable, encoder
 
 
@@ -28,6 +29,30 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return map_rows(docs, f"{id_col} {kind}, ids array<int>", fn, [id_col, text_col])
 
 
+#: White space of any script; texts that hold names of special tokens or separators aren't split.
+SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def encode_joined(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As `encode`, with one table of distinct words for the whole corpus, joined to every position.
+
+    It shuffles each word of each text twice; `encode` gives the same without a shuffle (README).
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    words = F.when(text.rlike(r"<\||[\x1c-\x1f]"), F.array(text)).otherwise(F.filter(F.split(text, SPACE), lambda w: w != ""))
+    at = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("words"))
+    at = materialize(at.select("row", "id", F.posexplode_outer("words").alias("pos", "word")), "words")
+    distinct = at.where("word is not null").select("word").distinct()
+    coded = materialize(map_rows(distinct, "word string, code binary", lambda w: {"word": w, "code": [encoder(WordTable, path).text(x) for x in w]}, ["word"]), "codes")
+    places = at.join(coded, "word", "left").groupBy("row", "id").agg(F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", "code")))).alias("codes"))
+
+    def fn(ids, codes):
+        return {id_col: ids, "ids": [np.frombuffer(b"".join(c["code"] for c in x), "<u4").astype("i4") for x in codes]}
+
+    kind = dict(docs.dtypes)[id_col]
+    return map_rows(places, f"{id_col} {kind}, ids array<int>", fn, ["id", "codes"])
+
+
 def pieces(path: str) -> list[str]:
     """The id-to-piece table: as long as the vocabulary, whatever the corpus."""
     t = encoder(WordTable, path).tokenizer
