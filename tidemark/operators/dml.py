@@ -45,3 +45,22 @@ def multi_get(tables: dict[str, DataFrame], key: str, keys: list) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
+
+
+def add_column(target: DataFrame, name: str, kind: str, default=None) -> DataFrame:
+    """ALTER TABLE ADD COLUMN: rows there already hold the default."""
+    if name in target.columns:
+        raise ValueError(f"column {name} exists")
+    return target.withColumn(name, F.lit(default).cast(kind))
+
+
+def rename_column(target: DataFrame, old: str, new: str) -> DataFrame:
+    """ALTER TABLE RENAME COLUMN."""
+    if old not in target.columns or new in target.columns:
+        raise ValueError(f"can't rename {old} to {new}")
+    return target.withColumnRenamed(old, new)
+
+
+def drop_partition(target: DataFrame, time: str, start, end) -> DataFrame:
+    """DROP PARTITION FOR: the rows of an interval [start, end) go; rows without a time stay."""
+    return delete(target, (F.col(time) >= F.lit(start)) & (F.col(time) < F.lit(end)))

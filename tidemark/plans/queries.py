@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from ..functions import scalar as S
 from ..operators import dml, pattern, relational, timeseries
 from ..session import load, ship
 from ..sources import catalog
+from ..streaming import windows
 from . import sql as dialect
 from . import tql as container
 
@@ -625,6 +627,42 @@ def delete(t):
     return dml.delete(t.events, F.nullif(col("event_type"), lit("view")) == "click").select("event_id")
 
 
+@query("SELECT n_nationkey, n_name AS label, n_regionkey, 'none' AS note FROM nation")
+def alter_columns(t):
+    return dml.add_column(dml.rename_column(t.nation, "n_name", "label"), "note", "string", "none")
+
+
+@query("SELECT event_id FROM events WHERE NOT (ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-06')")
+def drop_partition(t):
+    return dml.drop_partition(t.events, "ts", "2024-01-03", "2024-01-06").select("event_id")
+
+
+@query("SELECT s_suppkey, count(*) AS n FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY s_suppkey")
+def join_hint(t):
+    return t.supplier.join(t.lineitem.hint("shuffle_hash"), col("s_suppkey") == col("l_suppkey")).groupBy("s_suppkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT table_name, count(*)::INT AS n_columns FROM information_schema.columns WHERE table_name IN ('region', 'part') GROUP BY table_name")
+def meta_tables(t):
+    return catalog.tables_of({n: getattr(t, n) for n in ("region", "part")})
+
+
+@query("SELECT user_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k FROM events) WHERE k = 1")
+def last_row_per_series(t):
+    return relational.topk_per_group(t.events.select("user_id", "ts", "value"), ["user_id"], [col("ts").desc()], 1)
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS ts, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_rollup(t):
+    """Tumbling windows over the events as a stream, to its end; the rollup is kept in memory."""
+    schema = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
+    stream = t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/event[s].parquet").withColumn("ts", col("ts").cast("timestamp"))
+    name = f"rollup_{uuid.uuid4().hex}"
+    got = windows.tumbling(stream, "ts", "1 day", {"n": F.count("*")}, ["event_type"])
+    got.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.table(name).select("ts", "event_type", "n")
+
+
 @query("SELECT table_name, column_name, ordinal_position AS ordinal FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'orders')")
 def meta_columns(t):
     tables = {n: getattr(t, n) for n in ("region", "nation", "customer", "orders")}
