@@ -104,15 +104,15 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blank = F.lit("" if kind == "string" else 0).cast(kind)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # keys without nulls, so that joins and windows agree on one partitioning; nulls come first
-    src = src.select("id", F.col("id").isNotNull().alias("z"), F.coalesce("id", blank).alias("k"), F.xxhash64("text").alias("tie"), "text")
+    src = src.select(F.col("id").isNotNull().alias("z"), F.coalesce("id", blank).alias("k"), F.xxhash64("text").alias("tie"), "text")
     nexts = _next(src.select(*KEY, F.char_length("text").alias("n")))
     wants = nexts.select(*[F.col(f"next.{c}").alias(c) for c in KEY], *[F.col(c).alias(f"to_{c}") for c in KEY], F.floor(F.col("n") / 4).cast("int").alias("m"))
-    # both joins read the texts by the same key, so they are shuffled once
+    # both joins read the texts by the same key, and all of it, so they are shuffled once
     gives = src.join(wants, KEY).select(*[F.col(f"to_{c}").alias(c) for c in KEY], F.expr("substring(text, 1, m)").alias("head"), sketch(F.col("text"), k).alias("next_sketch"))
     gives = gives.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy("head"))).where("_n = 1").drop("_n")
     out = src.join(gives, KEY)
     out = out.select(
-        "id",
+        F.when(F.col("z"), F.col("k")).alias("id"),
         F.char_length("text").alias("n_chars"),
         F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) as int))"), F.col("head")).alias("edited"),
         sketch(F.col("text"), k).alias("a"),
