@@ -63,4 +63,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_warc": warc.SQL, "op6_quality_rules": quality.SQL}
+    return {"op1_suffix_dedup": suffixes.SQL, "op4_warc": warc.SQL, "op6_quality_rules": quality.SQL}

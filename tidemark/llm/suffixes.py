@@ -28,14 +28,15 @@ from .common import materialize, small
 LENGTH, GRAM = 100, 32
 #: Bits of the bitmap for each repeated minimiser, at least and at most in all.
 BITS_EACH, MOST_BITS = 16, 1 << 28
-#: Occurrences that make a minimiser hot; more, if need be, so that at most MOST_HOT are.
-HOT, MOST_HOT = 50_000, 500_000
+#: A minimiser is hot with so many occurrences or with this share of all of them, whichever is less, but never
+#: below LEAST_HOT; with more occurrences, if need be, so that at most MOST_HOT are.
+HOT, HOT_SHARE, LEAST_HOT, MOST_HOT = 50_000, 20_000, 1_000, 500_000
 #: Bytes handled at once, and of the segments sorted at once.
 CHUNK, SORTED = 900_000, 2 << 20
 #: Sent segments that a task remembers.
 REMEMBER = 300_000
-#: Exact copies (40 bytes each) and spans (16 each) up to which they are broadcast; beyond that both sides are shuffled.
-BROADCAST_COPIES, BROADCAST_SPANS = 400_000, 2_000_000
+#: Exact copies (40 bytes each) up to which they are broadcast; beyond that both sides are shuffled.
+BROADCAST_COPIES = 400_000
 
 
 # --- one text in memory -------------------------------------------------------------------------
@@ -308,9 +309,14 @@ def _sorted(sent: DataFrame) -> DataFrame:
             known = t.column("bytes").is_null().to_numpy(zero_copy_only=False)
             start, n = t.column("start").to_numpy(), t.column("windows").to_numpy()
             rows, begins, ends = [np.flatnonzero(known)], [start[known]], [start[known] + n[known] + LENGTH - 1]
-            at = np.flatnonzero(~known)
+            # rows that repeat id and text send each segment again, next to the first
+            codes = t.column("id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            h, tie = t.column("hash").to_numpy(), t.column("tie").to_numpy()
+            again = np.zeros(len(h), bool)
+            again[1:] = (h[1:] == h[:-1]) & (codes[1:] == codes[:-1]) & (tie[1:] == tie[:-1]) & (start[1:] == start[:-1])
+            at = np.flatnonzero(~known & ~again)
             if len(at):
-                h = t.column("hash").to_numpy()[at]
+                h = h[at]
                 g = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
                 alone = np.bincount(g)[g] == 1
                 only = alone & (n[at] < 2)  # a segment of one window, alone in its group
@@ -358,7 +364,7 @@ def spans(firsts: DataFrame) -> DataFrame:
     again = materialize(_minimisers(firsts), "minimisers")
     row = again.agg(F.count("*"), F.sum("n")).first()
     many, total = row[0], row[1] or 0
-    hot_from = max(HOT, total // MOST_HOT)
+    hot_from = max(LEAST_HOT, min(HOT, total // HOT_SHARE), total // MOST_HOT)
     warm = np.sort(np.array([r[0] for r in again.where(F.col("n") > hot_from).select("hash").toLocalIterator()], "i8").view("u8"))
     passes = max(1, -(-many * BITS_EACH // MOST_BITS))
     bits = 1 << max(20, (max(1, many // passes) * BITS_EACH - 1).bit_length())
@@ -368,9 +374,7 @@ def spans(firsts: DataFrame) -> DataFrame:
     for turn in range(passes):
         # Spark's pmod of a signed hash differs from the unsigned remainder, so the turn is taken from the bits in Python
         own = again if passes == 1 else _turn(again, passes, turn)
-        sent = _sent(firsts, spark.sparkContext.broadcast(_bitmap(own, bits)), hot, passes, turn)
-        if len(warm):
-            sent = materialize(sent, "sent")
+        sent = materialize(_sent(firsts, spark.sparkContext.broadcast(_bitmap(own, bits)), hot, passes, turn), "sent")
         found = _sorted(sent.where("windows > 0"))
         if len(warm):
             window = sent.where("windows < 0")
@@ -407,8 +411,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     firsts = marked.where(~F.col("copy"))
     cuts = spans(firsts).groupBy("id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
     cuts = materialize(cuts.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), "cuts"), "cuts")
-    if (cuts.agg(F.sum(F.size("cuts") + 2)).first()[0] or 0) <= BROADCAST_SPANS:
-        cuts = F.broadcast(cuts)
     out = marked.join(cuts, ~F.col("copy") & F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left")
     kind = dict(src.dtypes)["id"]
     schema = f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
@@ -437,3 +439,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=[x.split()[0] for x in schema.split(", ")])
 
     return out.select("id", "text", "copy", "cuts").mapInArrow(run, schema)
+
+
+#: Strings are compared as hexadecimal; for tables without repeated ids.
+SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM h WHERE length(h) >= 200)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k
+      FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM r)),
+s AS (SELECT doc_id, k, min(i) AS a, max(i) + 100 AS e FROM g GROUP BY doc_id, k),
+c AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS pe FROM s),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * pe + 1, 2 * (a - pe)), '' ORDER BY a) AS head, max(e) AS le, count(*) AS n, sum(e - a) AS removed FROM c JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT h.doc_id, (length(h.h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h.h ELSE head || substr(h.h, 2 * le + 1) END)) AS kept_sha256
+FROM h LEFT JOIN k ON h.doc_id = k.doc_id
+"""
