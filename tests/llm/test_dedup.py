@@ -201,6 +201,40 @@ def test_fuzzy_passage(spark):
     assert abs(r["start"] - 50) < 5 and abs(r["end"] - 140) < 5 and r["matches"] >= 80
 
 
+@pytest.mark.parametrize("gap, other", [(60, 60), (60, 75), (100, 100), (100, 90), (150, 400)])
+def test_passages_with_unlike_words_between(spark, gap, other):
+    rng = random.Random(12)
+    one, two = prose(rng, 60), prose(rng, 60)
+    between = [f"own{k}" for k in range(gap)], [f"other{k}" for k in range(other)]
+    docs = frame(spark, [(1, f"{one} {' '.join(between[0])} {two}"), (2, f"{prose(rng, 40)} {one} {' '.join(between[1])} {two} {prose(rng, 40)}")])
+    got = sorted((r["start"], r["end"], r["source_start"], r["source_end"], r["matches"]) for r in passages.report(docs).collect())
+    assert got == [(40, 100, 0, 60, 60), (100 + other, 160 + other, 60 + gap, 120 + gap, 60)]
+
+
+def test_judged_by_brute_force():
+    """Equal runs of 50 are found, and something wherever a part of 50 that ends well is 80 % equal."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        a = np.arange(400)
+        eq = np.concatenate([rng.random(n) < share for n, share in zip(rng.integers(10, 90, 4), rng.permutation([1, 0.9, 0.1, 0.85]))])
+        a = a[: len(eq)]
+        b = np.where(eq, a, -1)
+        first, last = int(eq.argmax()), len(eq) - int(eq[::-1].argmax())
+        got = passages.judged([(first, first, last - first)], a, b)
+        inside = np.zeros(len(eq), bool)
+        for s, e, _, _, same in got:
+            assert e - s >= 50 and same == eq[s:e].sum() >= 0.8 * (e - s)
+            inside[s:e] = True
+        for s in range(len(eq)):
+            for e in range(s + 50, len(eq) + 1):
+                if eq[s:e].all():
+                    assert inside[s:e].all()
+        if not got:
+            total = np.concatenate([[0], np.cumsum(eq)])
+            good = [(s, e) for s in range(len(eq)) for e in range(s + 50, len(eq) + 1) if total[e] - total[s] >= 0.8 * (e - s) and passages._trimmed(eq, s, e) == (s, e)]
+            assert not good
+
+
 def test_remove(spark, rows):
     df = frame(spark, rows)
     out = passages.remove(df)
