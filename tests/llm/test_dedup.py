@@ -211,6 +211,39 @@ def test_passages_with_unlike_words_between(spark, gap, other):
     assert got == [(40, 100, 0, 60, 60), (100 + other, 160 + other, 60 + gap, 120 + gap, 60)]
 
 
+@pytest.mark.parametrize("keys", [400_000, 0])
+def test_passage_whose_halves_other_documents_have(spark, monkeypatch, keys):
+    monkeypatch.setattr(passages, "BROADCAST_KEYS", keys)
+    for seed in range(2):
+        rng = random.Random(seed)
+        words = prose(rng, 60).split()
+        half, rest, whole = " ".join(words[:30]), " ".join(words[30:]), " ".join(words)
+        rows = [(k, f"{prose(rng, 40)} {x} {prose(rng, 40)}") for k, x in ((1, half), (2, rest), (5, whole), (6, whole))]
+        got = [(r["doc_id"], r["source_doc_id"], r["start"], r["end"]) for r in passages.report(frame(spark, rows)).collect()]
+        assert got == [(6, 5, 40, 100)]
+
+
+def test_passage_of_lines_that_many_documents_have(spark):
+    rng = random.Random(3)
+    lines = [prose(rng, 25) for _ in range(3)]
+    rows = [(k, f"{prose(rng, 30)} {lines[k % 3]} {prose(rng, 30)}") for k in range(30)]
+    rows += [(k, f"{prose(rng, 30)} {' '.join(lines)} {prose(rng, 30)}") for k in (50, 51)]
+    got = [(r["doc_id"], r["source_doc_id"], r["start"], r["end"]) for r in passages.report(frame(spark, rows)).collect()]
+    assert got == [(51, 50, 30, 105)]
+
+
+def test_windows_that_recur_are_all_kept():
+    rng = random.Random(8)
+    passage = prose(rng, 70)
+    w = vectors.words([f"{prose(rng, 33)} {passage} {prose(rng, 20)}", f"{prose(rng, 10)} {passage}"])
+    at, h, pos = passages.minimisers(w)
+    again = np.isin(h, [x for x, n in Counter(h.tolist()).items() if n > 1])
+    text, _, start = passages.windows(w, (w.first[at] + pos)[again])
+    got = set(zip(text.tolist(), start.tolist()))
+    assert {(0, 33 + k) for k in range(21)} | {(1, 10 + k) for k in range(21)} <= got
+    assert len(got) <= 42 + 4 * (passages.K + passages.W - 2)
+
+
 def test_judged_by_brute_force():
     """Equal runs of 50 are found, and something wherever a part of 50 that ends well is 80 % equal."""
     rng = np.random.default_rng(6)
