@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,6 +53,31 @@ def test_redact(spark):
     assert secrets.redact(df).columns == df.columns
 
 
+def test_redact_and_scan_with_clashing_columns(spark):
+    df = frame(spark, [(1, "token=abcdef1"), (None, None), (2, "")])
+    for c in ("met", "found", "_met", "_found", "_key", "_hash", "_t", "gram", "rule", "k", "h"):
+        df = df.withColumn(c, F.lit("kept"))
+    out = secrets.redact(df)
+    assert out.columns == df.columns
+    got = {r["doc_id"]: (r["text"], r["met"], r["found"], r["rule"]) for r in out.collect()}
+    assert got == {1: ("[SECRET]", "kept", "kept", "kept"), None: (None, "kept", "kept", "kept"), 2: ("", "kept", "kept", "kept")}
+    assert secrets.redact(df.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        secrets.scan(df)
+
+
+def test_candidates_are_the_documents_that_meet_a_query(spark):
+    rng = random.Random(2)
+    bits = ["pass", "word", "wd", "sec", "ret", "tok", "en", "API", "key", "_", "ghp_", "AKIA", "xox", "b-", "sk_live_", " "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 12))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").repartition(3)
+    got = {r["k"]: sorted(r["met"]) for r in secrets.candidates(df, ["k"], "t", secrets.RULES).collect()}
+    queries = {i: q for i, r in enumerate(secrets.RULES) if (q := secrets.query(r.pattern))}
+    want = {k: [i for i, q in queries.items() if all(any(all(g in t.lower() for g in way) for way in clause) for clause in q)] for k, t in enumerate(texts)}
+    assert got == {k: v for k, v in want.items() if v}
+    assert secrets.candidates(df, ["k"], "t", (secrets.Rule("hex", "[0-9a-f]{24,}"),)).count() == 0
+
+
 def test_trigram_queries_hold_for_every_match():
     rng = random.Random(1)
     samples = {"assign": ["API_KEY = 'abcdefg", "passwd:123456", "apikey=......"], "access": ["AKIA" + "Z" * 16], "github": ["ghu_" + "a" * 36], "slack": ["xoxp-1234567890"], "google": ["AIza" + "b" * 35], "stripe": ["sk_live_" + "c" * 16], "pem": ["-----BEGIN EC PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"], "jwt": ["eyJaaaaaaaa.eyJbbbbbbbb.c"], "hex": ["0" * 24]}
@@ -130,6 +156,81 @@ def test_evidence_and_awkward_rows(spark, sf):
     assert language.identify(df.where("false"), model).count() == 0
 
 
+def test_tables_without_labels_or_rows(spark):
+    rows = [(1, "some words here", None), (2, None, "en"), (None, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for docs in (df, df.where("false")):
+        model = language.fit(docs, "doc_id", "text", "lang")
+        assert model[0] == []
+        got = language.identify(docs, model, host=F.lit("h"), declared=F.lit("en"), address=F.lit("a.de")).collect()
+        assert [(r["language"], r["posterior"], r["kept"]) for r in got] == [("und", 1.0, False)] * len(got)
+        assert len(got) == docs.count()
+
+
+def test_sample_is_bounded_and_of_least_hash(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["ab", "cd", "ef"]) for _ in range(6)), rng.choice(["x", "y"])) for i in range(4000)] + [(7, "same text", "x")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    langs, table = language.fit(df, "doc_id", "text", "lang", rows=50)
+    order = {r["h"]: (r["text"], r["lang"]) for r in df.select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    least = [order[h] for h in sorted(order)[:50]]
+    assert langs == ["x", "y"]
+    for k, lang in enumerate(langs):
+        counts = np.bincount(language.trigrams([t for t, x in least if x == lang])[0], minlength=language.BUCKETS) + 0.05
+        assert np.allclose(table[:, k], np.log(counts / counts.sum()), atol=1e-4)
+
+
+def test_posteriors_by_hand(spark):
+    """All evidence fused as the docstring says, computed without Spark."""
+    rng = random.Random(6)
+    words = {"aa": ["alla", "parla", "bella"], "bb": ["brick", "brown", "block"], "cc": ["ciccu", "cucco", "cocci"]}
+    fitted = spark.createDataFrame([(i, " ".join(rng.choice(words[x]) for _ in range(8)), x) for i, x in enumerate(sorted(words) * 30)], "doc_id long, text string, lang string")
+    langs, table = language.fit(fitted, "doc_id", "text", "lang")
+    rows = []
+    for i in range(120):
+        x = rng.choice(sorted(words))
+        host = rng.choice([None, f"a.{x}.{x}", f"b.{x}.{x}", "a.aa.aa"])
+        text = " ".join(rng.choice(words[x]) for _ in range(rng.randrange(1, 6))) if i % 9 else "12 34"
+        rows.append((i, text, rng.choice([None, x, x + "-XX", "aa"]), host))
+    df = spark.createDataFrame(rows, "doc_id long, text string, declared string, address string").repartition(3)
+    got = {r["doc_id"]: r for r in language.identify(df, (langs, table), host=F.col("address"), declared=F.col("declared"), address=F.col("address")).collect()}
+    ll, n = language.likelihoods(table, [t for _, t, _, _ in rows])
+    size, s0 = len(langs), language.SMOOTH
+    guess = [int(x.argmax()) if m else size for x, m in zip(ll, n)]
+    domain = [None if a is None else ".".join(a.split(".")[-2:]) for *_, a in rows]
+    suffix = [None if a is None else a.split(".")[-1] for *_, a in rows]
+    tag = [None if d is None else d[:2] for _, _, d, _ in rows]
+
+    def count(keep):
+        return np.array([sum(1 for i in range(len(rows)) if guess[i] == k and keep(i)) for k in range(size)], float)
+
+    def smooth(c, parent):
+        return (c + s0 * parent) / (c.sum() + s0)
+
+    def evidence(values, i):
+        if values[i] is None:
+            return np.zeros(size)
+        total = count(lambda j: values[j] is not None)
+        own = count(lambda j: values[j] == values[i])
+        return np.log((own + s0 * own.sum() / total.sum()) / (total + s0)) if own.sum() else np.zeros(size)
+
+    for i in range(len(rows)):
+        if not n[i]:
+            assert got[i]["language"] == "und" and got[i]["posterior"] == 1
+            continue
+        root = smooth(count(lambda j: True), np.full(size, 1 / size))
+        at_domain = smooth(count(lambda j: domain[j] == domain[i]), root)
+        here = count(lambda j: rows[j][3] == rows[i][3])
+        prior = smooth(here, at_domain) if here.sum() else np.full(size, 1 / size)
+        e1, e2 = evidence(tag, i), evidence(suffix, i)
+        score = np.log(prior * (1 - language.UND_PRIOR)) + e1 + e2 + language.TEMPER * ll[i, :size]
+        score = np.append(score, np.log(language.UND_PRIOR) + e1.max() + e2.max() + language.TEMPER * ll[i, size])
+        p = np.exp(score - score.max())
+        p /= p.sum()
+        assert got[i]["language"] == [*langs, "und"][int(p.argmax())]
+        assert abs(got[i]["posterior"] - p.max()) < 1e-5
+
+
 def test_trigrams_do_not_cross_texts():
     h, n = language.trigrams(["ab", None, "", "ab cd"])
     one = [language.trigrams([t]) for t in ("ab", None, "", "ab cd")]
@@ -209,6 +310,29 @@ def test_archives(spark):
     assert warc.archive(df.where("false")).count() == 0
 
 
+def test_archives_hold_whole_records(spark, tmp_path):
+    """Written through the ARC parser: unique identifiers, dates by page, revisits that name the record they refer to."""
+    big = "<html>\n" + "z" * 1500 + "</html>"
+    rows = [(1, "http://a/ b", big, 3, "http://c d"), (2, "http://a", big, 3, "http://c d"), (3, "http://c d", big, None, None), (4, "http://c d", "", None, None), (None, None, None, None, None), (5, "http://a", "\r\n\r\nx", None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to long, refers_url string").repartition(2)
+    got = {}
+    for r in warc.write(df, f"file://{tmp_path}").collect():
+        if r["path"]:
+            with open(r["path"].removeprefix("file://"), "rb") as f:
+                for h, block in warc.load(f):
+                    head, payload = warc.payload_of(block)
+                    got[warc.page_of(head)] = h, payload
+    assert sorted(got, key=str) == [1, 2, 3, 4, 5, None]
+    assert len({h["WARC-Record-ID"] for h, _ in got.values()}) == 6
+    assert len({h["WARC-Date"] for h, _ in got.values()}) == 6
+    for page in (1, 2):
+        h, payload = got[page]
+        full = got[3][0]
+        assert h["WARC-Type"] == "revisit" and payload == b"" and h["WARC-Refers-To"] == full["WARC-Record-ID"]
+        assert h["WARC-Refers-To-Date"] == full["WARC-Date"] and h["WARC-Refers-To-Target-URI"] == full["WARC-Target-URI"] == "http://c%20d"
+    assert got[5][1] == b"\r\n\r\nx" and got[3][1] == big.encode() and got[1][0]["WARC-Target-URI"] == "http://a/%20b"
+
+
 def test_arc_converter(spark):
     import gzip
     import io

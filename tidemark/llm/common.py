@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,10 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where the session names none."""
+    """The folder that all executors share. Only a session on this machine alone may name none: it gets a temporary
+    folder, which goes with the process. ValueError on a cluster without `spark.checkpoint.dir`."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
+        d = "file://" + d
         spark.conf.set("spark.checkpoint.dir", d)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(d)
@@ -33,7 +40,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
+    """A new path in this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder. DataFrames that the operators returned read from it,
+    so this comes after they were written."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table that `materialize` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +67,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """`names` with as many underscores before them as it takes to clash with no column of `df`, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    lead = "_"
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 def map_rows(df: DataFrame, schema: str, fn: Callable[..., dict], columns: list[str]) -> DataFrame:
     """`fn` takes one Python list for each of `columns` and gives lists by output name, a batch at a time."""
     out = df.sparkSession.createDataFrame([], schema).schema

@@ -44,9 +44,19 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
-    """Languages and log P(trigram | language), from the `rows` labelled rows of least hash."""
+    """Languages and log P(trigram | language), from the `rows` labelled rows of least hash.
+
+    Rows with a null label or text don't count; rows equal in id and text count once. A threshold on the hash, from a
+    count of all labelled rows, lets about 5/4 of `rows` pass, and only those are sorted: what reaches the driver has one
+    bound at every size. Without labelled rows there are no languages, and `identify` calls everything `und`.
+    """
     at = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    got = at.select(F.col(label_col).alias("l"), F.substring(text_col, 1, chars).alias("t"), F.xxhash64(id_col, text_col).alias("h")).orderBy("h", "t", "l").limit(rows).collect()
+    at = at.select(F.col(label_col).alias("l"), F.substring(text_col, 1, chars).alias("t"), F.xxhash64(id_col, text_col).alias("h"))
+    total = at.count()
+    share = min(1.0, (1.25 * rows + 200) / max(total, 1))
+    # hashes are spread evenly over 64 bits
+    few = at.where(F.col("h") <= min((1 << 63) - 1, int(-(1 << 63) + share * ((1 << 64) - 1))) if share < 1 else F.lit(True))
+    got = few.groupBy("h").agg(F.min(F.struct("t", "l")).alias("r")).orderBy("h").limit(rows).select("r.l", "r.t").collect()
     langs = sorted({r["l"] for r in got})
     table = np.empty((BUCKETS, len(langs)), "f4")
     for k, lang in enumerate(langs):
@@ -101,7 +111,8 @@ def identify(
 
     `host`, `declared` (a language tag) and `address` (a host name, whose last label is the suffix) may
     be None or null: then that evidence is silent. Null and empty texts, and texts without letters, are
-    `und` and not kept. Ties go to the language first in the alphabet. An empty table gives no rows.
+    `und` and not kept. Ties go to the language first in the alphabet. An empty table gives no rows; a model
+    without languages makes every row `und`, with posterior 1.
     """
     langs, table = model
     size = len(langs)
@@ -132,6 +143,9 @@ def identify(
     base = src.select(names).mapInArrow(run, schema)
     base = materialize(base.drop("text"), "likelihoods")
 
+    if not size:
+        und = F.lit("und")
+        return base.select("row.*", und.alias("language"), F.lit(1.0).alias("posterior"), und.alias("text_language"), "n_trigrams", F.lit(False).alias("kept"))
     seen = base.where(F.col("guess") < size)
     uniform = F.array(*[F.lit(1.0 / size)] * size)
     glob = _counts(seen, [], size).select(_smooth("n", uniform).alias("g"))

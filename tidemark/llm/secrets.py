@@ -1,8 +1,10 @@
 """Secret scans over a trigram index, in DataFrame expressions only.
 
-Each rule's regular expression yields a Boolean query of trigrams that any match must hold. Postings
-(trigram, document) are built for the trigrams that queries name, intersected by document, and only
-the candidates of a rule are scanned with its expression; a rule without mandatory trigrams scans all.
+Each rule's regular expression yields a Boolean query of trigrams that any match must hold. The inverted
+index holds the postings (trigram, document) of all trigrams that queries name. A query's postings are
+intersected by joining the index to the table of queries and counting, by document, the trigrams of each
+way, then the clauses met. Only a rule's candidates are scanned with its expression; a rule without
+mandatory trigrams scans all.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import fresh, let
 
 
 @dataclass(frozen=True)
@@ -144,47 +146,53 @@ def _is(i: int):
     return lambda x: x["kind"] == i
 
 
-def candidates(docs: DataFrame, keys: list[str], text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
-    """(keys, rules): the numbers of the rules whose trigram queries the document meets; documents with none are left out."""
-    queries = {i: query(r.pattern) for i, r in enumerate(rules)}
-    queries = {i: q for i, q in queries.items() if q}
-    grams = sorted({t for q in queries.values() for c in q for way in c for t in way})
+def index(docs: DataFrame, keys: list[str], text_col: str, grams: list[str]) -> DataFrame:
+    """The inverted index: (gram, keys) for each of `grams` and each document whose lower-case text holds it, once."""
     has = let(F.lower(text_col), lambda low: F.filter(F.array(*[F.lit(t) for t in grams]), lambda t: F.contains(low, t)))
-    postings = docs.select(F.explode(has).alias("gram"), *keys)
-    lists = postings.groupBy(*keys).agg(F.collect_set("gram").alias("grams"))
-
-    def meets(q: Query) -> Column:
-        out = F.lit(True)
-        for clause in q:
-            any_ = F.lit(False)
-            for way in sorted(clause, key=sorted):
-                every = F.lit(True)
-                for t in sorted(way):
-                    every = every & F.array_contains("grams", t)
-                any_ = any_ | every
-            out = out & any_
-        return out
-
-    met = F.array_compact(F.array(*[F.when(meets(q), F.lit(i)) for i, q in queries.items()]))
-    return lists.select(*keys, met.alias("met")).where(F.size("met") > 0)
+    return docs.select(F.explode(has).alias("gram"), *keys).distinct()
 
 
-def scan(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`docs` with `found`: array<struct<start, kind, end>> of all spans by start, then by rule; kind is the rule's number.
+def candidates(docs: DataFrame, keys: list[str], text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(keys, rules): the numbers of the rules whose trigram queries the document meets; documents with none are left out.
 
-    A null text has no spans. Keys may be null or repeat: candidates are found by (key, hash of the text).
+    A way is a set of trigrams that a text must hold together, a clause a choice of ways, a query all its clauses.
+    The table of queries has a row for each trigram of each way, so it grows with the rules alone and is broadcast.
+    """
+    queries = {i: q for i, r in enumerate(rules) if (q := query(r.pattern))}
+    rows = [(t, i, c, w, len(way), len(q)) for i, q in queries.items() for c, clause in enumerate(q) for w, way in enumerate(sorted(clause, key=sorted)) for t in sorted(way)]
+    if not rows:
+        return docs.select(*keys, F.array().cast("array<int>").alias("met")).where(F.lit(False))
+    names = ("gram", "rule", "clause", "way", "grams", "clauses")
+    asked = docs.sparkSession.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])))
+    postings = index(docs, keys, text_col, sorted({r[0] for r in rows}))
+    # a document's few postings lie together, so that none of the groupings moves them again
+    found = postings.repartition(*keys).join(F.broadcast(asked), "gram")
+    ways = found.groupBy(*keys, "rule", "clause", "way").agg(F.count("*").alias("n"), F.first("grams").alias("grams"), F.first("clauses").alias("clauses")).where("n = grams")
+    met = ways.groupBy(*keys, "rule").agg(F.count_distinct("clause").alias("n"), F.first("clauses").alias("clauses")).where("n = clauses")
+    return met.groupBy(*keys).agg(F.collect_list("rule").alias("met"))
+
+
+def scan(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", rules: tuple[Rule, ...] = RULES, found: str = "found") -> DataFrame:
+    """`docs` with the column `found`: array<struct<start, kind, end>> of all spans by start, then by rule; kind is the rule's number.
+
+    A null or empty text has no spans, an empty table gives no rows. Keys may be null or repeat: candidates are found by
+    (key, hash of the text). Spans of several rules may overlap or be equal; all are told. ValueError if `docs` has a
+    column named `found`.
     """
-    names = docs.columns
+    if found.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {found}")
+    key, digest, met_, text_ = fresh(docs, "key", "hash", "met", "t")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    src = docs.withColumn("_text_hash", F.xxhash64(text))
-    met = candidates(src.select(F.col(key_col).alias("_key"), F.col("_text_hash").alias("_hash"), text.alias("_t")), ["_key", "_hash"], "_t", rules)
-    out = src.join(met, F.col(key_col).eqNullSafe(F.col("_key")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    src = docs.withColumn(digest, F.xxhash64(text))
+    met = candidates(src.select(F.col(key_col).alias("k"), F.col(digest).alias("h"), text.alias(text_)), ["k", "h"], text_, rules)
+    met = met.select(F.col("k").alias(key), F.col("h").alias(digest + "_"), F.col("met").alias(met_))
+    out = src.join(met, F.col(key_col).eqNullSafe(F.col(key)) & (F.col(digest) == F.col(digest + "_")), "left")
     kind = "array<struct<start:int,kind:int,end:int>>"
     parts = []
     for i, r in enumerate(rules):
         got = F.transform(_spans(text, r), _kinded(i))
-        parts.append(got if not query(r.pattern) else F.when(F.array_contains("met", i), got).otherwise(F.array().cast(kind)))
-    return out.select(*[F.col(c) for c in names], F.array_sort(F.concat(*parts)).alias("found"))
+        parts.append(got if not query(r.pattern) else F.when(F.array_contains(met_, i), got).otherwise(F.array().cast(kind)))
+    return out.select(*[F.col(c) for c in docs.columns], F.array_sort(F.concat(*parts)).alias(found))
 
 
 def written(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -193,7 +201,11 @@ def written(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Per row: id, n_assign, n_access, n_hex, base_sha256 and spans."""
+    """Per row: id, n_assign, n_access, n_hex, base_sha256 and spans.
+
+    Null texts are empty and have no spans; rows that repeat each get their result; spans that start together come in
+    the order of the rules. An empty table gives no rows; other columns are left out.
+    """
     out = scan(docs.select(id_col, text_col), text_col, id_col, rules)
     counts = [F.size(F.filter("found", _is(i))).cast("long").alias(f"n_{r.name}") for i, r in enumerate(BASE)]
     base = F.filter("found", lambda x: x["kind"] < len(BASE))
@@ -201,8 +213,13 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """`docs` with each run of overlapping spans replaced by `mark`; a null text stays null."""
-    out = scan(docs, text_col, id_col)
+    """`docs` with each run of overlapping spans replaced by `mark`.
+
+    A null text stays null; repeated rows are each redacted; an empty table gives no rows. Other columns, whatever
+    their names, stay as they are.
+    """
+    (found,) = fresh(docs, "found")
+    out = scan(docs, text_col, id_col, found=found)
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -213,5 +230,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     def close(acc: Column) -> Column:
         return F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text_col), acc["at"] + 1, F.char_length(text_col)))
 
-    new = F.when(F.size("found") == 0, F.col(text_col)).otherwise(F.aggregate("found", begin, step, close))
+    new = F.when(F.size(found) == 0, F.col(text_col)).otherwise(F.aggregate(found, begin, step, close))
     return out.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import datetime, timedelta
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -42,7 +43,8 @@ def arc_header(version: int, uri: str, date: str, kind: str, length: int, ip: st
 
 
 def arc_version_block(version: int, name: str = "converted.arc", date: str = "19700101000000") -> bytes:
-    body = f"{version} 0 tidemark\n{' '.join(('URL', 'IP-address', 'Archive-date', 'Content-type', 'Archive-length'))}\n".encode()
+    names = ("URL", "IP-address", "Archive-date", "Content-type", *(("Result-code", "Checksum", "Location", "Offset", "Filename") if version == 2 else ()), "Archive-length")
+    body = f"{version} 0 tidemark\n{' '.join(names)}\n".encode()
     return arc_header(1, f"filedesc://{name}", date, "text/plain", len(body)) + body + b"\n"
 
 
@@ -86,15 +88,27 @@ def payload_of(block: bytes) -> tuple[bytes, bytes]:
     return b"", block
 
 
+def arc_date(date: str) -> str:
+    """The WARC form of an ARC date of up to 14 digits; what it lacks is the beginning of its time."""
+    return datetime.strptime(date[:14] + "00000101000000"[len(date[:14]) :], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def record_id(fields: dict, digest: str) -> str:
+    """A UUID of the record's place (archive and offset, if they are known), address, date and digest, so that another
+    run gives the same one and no two records share one but rows equal in page_id, url and html."""
+    parts = [str(fields.get("archive", "")), str(fields.get("at", "")), fields["uri"], fields["date"], digest]
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(parts))}>"
+
+
 def convert(fields: dict, block: bytes) -> tuple[dict[str, str], bytes]:
     """The WARC headers and block equivalent to an ARC record."""
     head, payload = payload_of(block)
     digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    date = datetime.strptime(fields["date"][:14] + "00000101000000"[len(fields["date"][:14]) :], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+    date = arc_date(fields["date"])
     kind = "response" if head else "metadata" if fields["type"] == "text/anvl" else "resource"
     headers = {
         "WARC-Type": kind,
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join([fields['uri'], date, digest]))}>",
+        "WARC-Record-ID": record_id(fields, digest),
         "WARC-Date": date,
         "WARC-Target-URI": fields["uri"],
         "WARC-Payload-Digest": digest,
@@ -105,9 +119,11 @@ def convert(fields: dict, block: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block
 
 
-def revisit(headers: dict[str, str], block: bytes) -> tuple[dict[str, str], bytes]:
-    """A response without its payload; digest and HTTP head are those of the full one."""
-    return headers | {"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}, payload_of(block)[0]
+def revisit(headers: dict[str, str], block: bytes, refers_to: dict[str, str] | None = None) -> tuple[dict[str, str], bytes]:
+    """A response without its payload; digest and HTTP head are those of the full one. `refers_to` has the headers of
+    the record that keeps the payload."""
+    more = {"WARC-Refers-To": refers_to["WARC-Record-ID"], "WARC-Refers-To-Target-URI": refers_to["WARC-Target-URI"], "WARC-Refers-To-Date": refers_to["WARC-Date"]} if refers_to else {}
+    return headers | {"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"} | more, payload_of(block)[0]
 
 
 def dump(headers: dict[str, str], block: bytes) -> bytes:
@@ -142,14 +158,13 @@ def _open(path: str, write: bool = False):
     where, name = fs.FileSystem.from_uri(path)
     if write:
         where.create_dir(name.rpartition("/")[0], recursive=True)
-    return where.open_output_stream(name) if write else where.open_input_stream(name)
+    # else Arrow would gzip a .gz file once more
+    return where.open_output_stream(name, compression=None) if write else where.open_input_stream(name, compression=None)
 
 
 def arc_to_warc(archives: DataFrame, content_col: str = "content") -> DataFrame:
     """(record_id, record_type, record_date, uri, payload_digest, block) of each record in ARC files given as
     binary rows, gzipped or not. Null and empty contents have no records."""
-    import io
-
     schema = "record_id string, record_type string, record_date string, uri string, payload_digest string, block binary"
     names = ("WARC-Record-ID", "WARC-Type", "WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest")
 
@@ -171,10 +186,31 @@ def arc_to_warc(archives: DataFrame, content_col: str = "content") -> DataFrame:
     return archives.select(content_col).mapInArrow(run, schema)
 
 
-def write(pages: DataFrame, directory: str, date: str = "20240101000000") -> DataFrame:
-    """Write (page_id, url, html, refers_to) as archives; a written table of (path, records).
+def page_date(page: int | None) -> str:
+    """Pages carry no date; an ARC record must. A second for each page_id after the year 2000, so that dates tell pages
+    apart and another run gives the same."""
+    seconds = (0 if page is None else page) % (100 * 365 * 86400)
+    return (datetime(2000, 1, 1) + timedelta(seconds=seconds)).strftime("%Y%m%d%H%M%S")
+
 
-    Each row is first an ARC record (versions 1 and 2 by turns), then converted.
+def page_record(version: int, page: int | None, url: str | None, html: str | None) -> bytes:
+    """A page as an ARC record: header line and HTTP response. The page_id stands in the HTTP head."""
+    body = (html or "").encode()
+    own = b"" if page is None else b"X-Page-Id: %d\r\n" % page
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n%s\r\n" % (len(body), own) + body
+    return arc_header(version, url or "urn:none", page_date(page), "text/html", len(block)) + block + b"\n"
+
+
+def page_of(head: bytes) -> int | None:
+    found = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", head)
+    return None if found is None else int(found[1])
+
+
+def write(pages: DataFrame, directory: str) -> DataFrame:
+    """Write (page_id, url, html, refers_to, refers_url) as archives; a written table of (path, records).
+
+    Each batch of rows is first put down as the bytes of an ARC archive (versions 1 and 2 by turns), with its version
+    block; these are parsed by header lines and declared lengths, and each record converted. Memory holds one batch.
     """
 
     def run(batches):
@@ -183,23 +219,25 @@ def write(pages: DataFrame, directory: str, date: str = "20240101000000") -> Dat
         context = TaskContext.get()
         number, out, size, records, path = 0, None, 0, 0, ""
         made: list[tuple[str, int]] = []
-        version = 1 + context.partitionId() % 2
-        names = FIELDS[version]
         try:
-            for b in small(batches):
-                for page, url, html, refers in zip(*(c.to_pylist() for c in b.columns)):
+            for k, b in enumerate(small(batches)):
+                version = 1 + (context.partitionId() + k) % 2
+                rows = list(zip(*(c.to_pylist() for c in b.columns)))
+                arc = io.BytesIO(arc_version_block(version) + b"".join(page_record(version, page, url, html) for page, url, html, _, _ in rows))
+                for (fields, block), (_, _, _, refers, refers_url) in zip(parse_arc(arc), rows):
                     if out is None:
                         path = f"{directory}/part-{context.partitionId():06d}-{context.taskAttemptId()}-{number}.warc.gz"
                         out, size, records, number = _open(path, True), 0, 0, number + 1
-                    body = (html or "").encode()
-                    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
-                    line = arc_header(version, url or "urn:none", date, "text/html", len(block))
-                    fields = dict(zip(names, line.decode().rstrip("\n").split(" ")))
-                    headers, block = convert(fields, block)
-                    if page is not None:
-                        headers["Page-Id"] = str(page)
+                    page = page_of(payload_of(block)[0])
+                    # a page is its own place: its identifier is known to the records that refer to it
+                    place = {"archive": "page", "at": page} if page is not None else {"archive": path, "at": records}
+                    headers, block = convert(fields | place, block)
                     if refers is not None:
-                        headers, block = revisit(headers | {"Refers-To-Page-Id": str(refers)}, block)
+                        line = arc_header(1, refers_url or "urn:none", page_date(refers), "text/html", 0).decode().split(" ")
+                        other = {"uri": line[0], "date": line[2], "archive": "page", "at": refers}
+                        to = {"WARC-Record-ID": record_id(other, headers["WARC-Payload-Digest"]), "WARC-Target-URI": line[0], "WARC-Date": arc_date(line[2])}
+                        headers, block = revisit(headers, block, to)
+                        headers["Refers-To-Page-Id"] = str(refers)
                     size += out.write(dump(headers, block))
                     records += 1
                     if size > FILE_BYTES:
@@ -213,7 +251,7 @@ def write(pages: DataFrame, directory: str, date: str = "20240101000000") -> Dat
             made.append((path, records))
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.string()), pa.array([n for _, n in made], pa.int64())], names=["path", "records"])
 
-    return materialize(pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long"), "archives")
+    return materialize(pages.select("page_id", "url", "html", "refers_to", "refers_url").mapInArrow(run, "path string, records long"), "archives")
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -234,8 +272,8 @@ def read(files: DataFrame) -> DataFrame:
                             n = len(payload)
                             if hashlib.sha1(payload).hexdigest() != digest:
                                 raise ValueError(f"digest of {h['WARC-Record-ID']} in {path}")
-                        page, refers = h.get("Page-Id"), h.get("Refers-To-Page-Id")
-                        rows.append((None if page is None else int(page), n, digest, h["WARC-Type"], None if refers is None else int(refers)))
+                        page, refers = page_of(head), h.get("Refers-To-Page-Id")
+                        rows.append((page, n, digest, h["WARC-Type"], None if refers is None else int(refers)))
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in schema.split(", ")])
@@ -254,9 +292,9 @@ def archive(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     src = pages.select("page_id", "url", "html")
     body = F.coalesce("html", F.lit("")).cast("binary")
-    light = src.where("page_id is not null").select("page_id", F.sha1(body).alias("digest"), F.octet_length(body).alias("n")).where(F.col("n") >= LEAST_REVISIT)
-    best = light.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").drop("least")
-    again = materialize(light.join(best, "digest").where("page_id < refers_to").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to").distinct(), "revisits")
+    light = src.where("page_id is not null").select("page_id", "url", F.sha1(body).alias("digest"), F.octet_length(body).alias("n")).where(F.col("n") >= LEAST_REVISIT)
+    best = light.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("best"), F.min("page_id").alias("least")).select("digest", F.col("best.page_id").alias("refers_to"), F.col("best.url").alias("refers_url"), "least").where("least < refers_to").drop("least")
+    again = materialize(light.join(best, "digest").where("page_id < refers_to").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to", "refers_url").distinct(), "revisits")
     if again.count() <= BROADCAST_ROWS:
         again = F.broadcast(again)
     rows = src.join(again, (F.col("page_id") == F.col("_page")) & (F.sha1(body) == F.col("_digest")), "left")
