@@ -231,13 +231,13 @@ def test_components(spark):
 
 
 def covered(rows, spark):
-    """Words inside a 50-word window that an earlier document has."""
+    """Words inside a 50-word window that an earlier document has, or this one at an earlier place."""
     first, out = {}, {}
     for i, t in order(rows, spark):
         w, own = t.split(), set()
         for k in range(len(w) - 49):
             x = tuple(w[k : k + 50])
-            if first.setdefault(x, (i, t)) != (i, t):
+            if first.setdefault(x, (i, t, k)) != (i, t, k):
                 own |= set(range(k, k + 50))
         out[i, t] = own
     return out
@@ -304,12 +304,57 @@ def test_windows_that_recur_are_all_kept():
     rng = random.Random(8)
     passage = prose(rng, 70)
     w = vectors.words([f"{prose(rng, 33)} {passage} {prose(rng, 20)}", f"{prose(rng, 10)} {passage}"])
-    at, h, pos = passages.minimisers(w)
-    again = np.isin(h, [x for x, n in Counter(h.tolist()).items() if n > 1])
-    text, _, start = passages.windows(w, (w.first[at] + pos)[again])
-    got = set(zip(text.tolist(), start.tolist()))
+    at, h, pos = passages.seeds(w)
+    once = np.isin(h, [x for x, n in Counter(h.tolist()).items() if n == 1])
+    text, _, start = passages.windows(w, pos[once])
+    got = set(zip(text.tolist(), (start - w.first[text]).tolist()))
     assert {(0, 33 + k) for k in range(21)} | {(1, 10 + k) for k in range(21)} <= got
-    assert len(got) <= 42 + 4 * (passages.K + passages.W - 2)
+    assert len(got) <= 42 + 60
+
+
+def test_pieces_that_many_documents_have(spark):
+    """Overlapping parts of a passage in eight documents, all of it in two later ones."""
+    rng = random.Random(21)
+    words = prose(rng, 120).split()
+    rows = [(k, f"{prose(rng, 40)} {' '.join(words[12 * k : 12 * k + 30])} {prose(rng, 40)}") for k in range(8)]
+    rows += [(k, f"{prose(rng, 40)} {' '.join(words)} {prose(rng, 40)}") for k in (100, 101)]
+    got = [(r["doc_id"], r["source_doc_id"], r["start"], r["end"]) for r in passages.report(frame(spark, rows)).collect()]
+    assert got == [(101, 100, 40, 160)]
+
+
+def test_passage_twice_in_one_document(spark):
+    rng = random.Random(22)
+    passage = prose(rng, 120)
+    line = "the same line again and again "
+    rows = [(1, f"{prose(rng, 40)} {passage} {prose(rng, 40)} {passage}"), (2, line * 40), (3, f"{prose(rng, 10)} {passage}"), (None, passage), (None, passage)]
+    df = frame(spark, rows)
+    got = sorted((r["doc_id"] or 0, r["source_doc_id"] or 0, r["start"], r["end"]) for r in passages.report(df).collect())
+    assert got == [(1, 0, 40, 160), (1, 0, 200, 320), (2, 2, 6, 240), (3, 0, 10, 130)]
+    left = {r["doc_id"]: r["text"].split() for r in passages.remove(df).collect()}
+    assert len(left[1]) == 80 and left[2] == line.split() and len(left[3]) == 10 and len(left[None]) == 120
+
+
+@pytest.mark.parametrize("every, words, least", [(8, 120, 0.98), (7, 120, 0.97), (6, 120, 0.9), (10, 60, 0.95), (0, 80, 0.9)])
+def test_recall_of_edited_passages(spark, every, words, least):
+    """Passages with each `every`-th word changed, or (0) 15 % of words anywhere: share of their words found."""
+    rng = random.Random(every)
+    rows, where = [], {}
+    for k in range(60):
+        passage = prose(rng, words).split()
+        rows.append((k, f"{prose(rng, 60)} {' '.join(passage)} {prose(rng, 60)}"))
+        start = rng.randrange(every) if every else 0
+        change = set(range(start, words, every)) if every else set(rng.sample(range(words), words * 15 // 100))
+        edited_ = [f"new{rng.randrange(10**6)}" if i in change else x for i, x in enumerate(passage)]
+        rows.append((1000 + k, f"{prose(rng, 60)} {' '.join(edited_)} {prose(rng, 60)}"))
+        where[1000 + k] = set(range(60, 60 + words))
+    found = defaultdict(set)
+    for r in passages.report(frame(spark, rows)).collect():
+        assert r["source_doc_id"] == r["doc_id"] - 1000 and r["matches"] >= 0.8 * (r["end"] - r["start"])
+        found[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    share = sum(len(found[k] & w) for k, w in where.items()) / (60 * words)
+    print(every, words, share)
+    assert share >= least
+    assert sum(len(found[k] - w) for k, w in where.items()) < 0.02 * 60 * words
 
 
 def test_judged_by_brute_force():
@@ -338,6 +383,8 @@ def test_judged_by_brute_force():
 
 def test_remove(spark, rows):
     df = frame(spark, rows)
+    for c in ("cuts", "_cuts", "_id", "_tie", "_t", "start"):
+        df = df.withColumn(c, F.lit("kept"))
     out = passages.remove(df)
     assert out.columns == df.columns
     left = [(r["doc_id"], r["text"]) for r in out.collect()]
