@@ -42,7 +42,7 @@ def brute_suffix(ordered, length):
     return out
 
 
-@pytest.mark.parametrize("settings", [{}, {"HOT": 1, "LEAST_HOT": 1}, {"MOST_BITS": 1 << 20, "BITS_EACH": 1 << 12}, {"BROADCAST_COPIES": 0, "CHUNK": 700, "SORTED": 2000, "REMEMBER": 5}])
+@pytest.mark.parametrize("settings", [{}, {"HOT": 1}, {"BROADCAST_COPIES": 0, "CHUNK": 700, "SORTED": 2000, "REMEMBER": 5}])
 def test_suffix_dedup(spark, rows, monkeypatch, settings):
     for k, v in settings.items():
         monkeypatch.setattr(suffixes, k, v)
@@ -65,6 +65,18 @@ def test_suffix_dedup_keeps_the_text_and_takes_an_empty_table(spark, rows):
     assert suffixes.dedup(df.where("false")).count() == 0
 
 
+def test_smaller_positions():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 40):
+        for _ in range(20):
+            x, g = rng.permutation(n), np.sort(rng.integers(0, 4, n))
+            for group in (None, g):
+                near = lambda i, j: group is None or group[i] == group[j]
+                before, after = suffixes.smaller(x, group)
+                assert before.tolist() == [max((j for j in range(i) if x[j] < x[i] and near(i, j)), default=-1) for i in range(n)]
+                assert after.tolist() == [min((j for j in range(i + 1, n) if x[j] < x[i] and near(i, j)), default=-1) for i in range(n)]
+
+
 def test_longest_previous_factors():
     rng = random.Random(1)
     for b in (b"", b"a", b"aaaa", b"abracadabra", bytes(rng.choice(b"ab") for _ in range(60))):
@@ -194,6 +206,32 @@ def test_recurrence(spark, monkeypatch):
         h = vectors.words([r["text"]]).hash
         assert counts.count(r["place"], h).tolist() == [want[int(x)] for x in h]
     assert counts.count(12345, np.array([1], "u8")).tolist() == [1]
+    # the first occurrence of each word that recurs
+    for ids in ([None, *range(len(texts) - 1)], [f"d{k % 97}" if k % 5 else None for k in range(len(texts))]):
+        kind = "long" if isinstance(ids[1], int) else "string"
+        docs = spark.createDataFrame([(i, k % 3, t) for k, (i, t) in enumerate(zip(ids, texts))], f"id {kind}, tie int, text string").repartition(6)
+        table = recurrence.placed(docs, "t")
+        rows = table.collect()
+
+        def found(b, place):
+            w = vectors.words(b.column(2).to_pylist())
+            text = np.repeat(np.arange(b.num_rows), np.diff(w.first))
+            return w.hash, text, np.arange(len(text)) - w.first[text]
+
+        told = recurrence.firsts(table, found, 10_000, "firsts")
+        best = {}
+        for r in rows:
+            for p, h in enumerate(vectors.words([r["text"]]).hash.tolist()):
+                here = ((r["id"] is not None, r["id"] or (0 if kind == "long" else "")), r["tie"], p)
+                best[h] = min(best.get(h, here), here)
+        for place in {r["place"] for r in rows}:
+            known = {int(h): (i, t, p) for h, i, t, p in zip(told.of(place)[0], told.of(place)[1].to_pylist(), *told.of(place)[2:])}
+            own = {int(h) for r in rows if r["place"] == place for h in vectors.words([r["text"]]).hash}
+            assert {int(told.cut(np.array([h], "u8"))[0]) for h in own if want[h] > 1} == set(known)
+            for h in own:
+                if want[h] > 1:
+                    (some, i), t, p = best[h]
+                    assert known[int(told.cut(np.array([h], "u8"))[0])] == (i if some else None, t, p)
     empty = recurrence.placed(spark.createDataFrame([], "text string"), "t")
     assert recurrence.counted(empty, hashes, 0, "counts").count(1, np.zeros(0, "u8")).tolist() == []
 

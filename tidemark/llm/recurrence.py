@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +65,17 @@ def runs_of(place: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(at[:-1].tolist(), at[1:].tolist())
 
 
+def _lists(path: str, place: int, columns: list[str]) -> Iterator[tuple]:
+    """Rows of the lists written for a place."""
+    from pyarrow import fs
+
+    where, name = fs.FileSystem.from_uri(path)
+    for info in where.get_file_info(fs.FileSelector(f"{name}/place={place}", allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with where.open_input_file(info.path) as f:
+                yield from zip(*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in pq.ParquetFile(f).read(columns).columns))
+
+
 @dataclass
 class Counts:
     """The written lists: hashes that occur more than once, by place. Used in the workers."""
@@ -79,18 +91,10 @@ class Counts:
     def of(self, place: int) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, ascending and cut to `bits`; how often each occurs in the corpus) of a place's recurring hashes."""
         if self._place != place or self._held is None:
-            from pyarrow import fs
-
-            where, name = fs.FileSystem.from_uri(self.path)
             h, n = [np.zeros(0, "u8")], [np.zeros(0, "i8")]
-            for info in where.get_file_info(fs.FileSelector(f"{name}/place={place}", allow_not_found=True)):
-                if not info.path.endswith(".parquet"):
-                    continue
-                with where.open_input_file(info.path) as f:
-                    t = pq.ParquetFile(f).read(["hashes", "counts"])
-                for x, c in zip(t.column("hashes").to_pylist(), t.column("counts").to_pylist()):
-                    h.append(unpacked(x))
-                    n.append(ints(c, len(h[-1])))
+            for x, c in _lists(self.path, place, ["hashes", "counts"]):
+                h.append(unpacked(x.as_py()))
+                n.append(ints(c.as_py(), len(h[-1])))
             h_, n_ = np.concatenate(h), np.concatenate(n)
             order = np.argsort(h_, kind="stable")
             self._place, self._held = place, (h_[order], n_[order])
@@ -106,13 +110,23 @@ class Counts:
         return np.where(known[at] == cut, n[at], 1)
 
 
+def _sizes(expected: int) -> tuple[int, int]:
+    """Bits that are used of each hash, and the logarithm of the number of ranges."""
+    return min(64, max(32, max(1, expected).bit_length() + SPARE_BITS)), max(0, (max(1, expected) // RANGE).bit_length())
+
+
+def _ranges(h: np.ndarray, bits: int, log_ranges: int) -> Iterator[tuple[int, int, int]]:
+    """(range, first, end) of ascending hashes."""
+    cut = np.searchsorted(h >> np.uint64(bits - log_ranges), np.arange((1 << log_ranges) + 1, dtype="u8")) if log_ranges else np.array([0, len(h)])
+    return ((k, i, j) for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if i < j)
+
+
 def counted(table: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], expected: int, name: str) -> Counts:
     """Counts of `hashes(batch)`, one for each occurrence, over all rows of a `placed` table.
 
     `expected` is about how many there are; it sets sizes, not results. An empty table has no lists.
     """
-    bits = min(64, max(32, max(1, expected).bit_length() + SPARE_BITS))
-    log_ranges = max(0, (max(1, expected) // RANGE).bit_length())
+    bits, log_ranges = _sizes(expected)
     column = table.columns.index("place")
 
     def first(parts):
@@ -123,8 +137,7 @@ def counted(table: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], ex
             rows = []
             for place, found in held.items():
                 h, n = np.unique(np.concatenate(found) >> np.uint64(64 - bits), return_counts=True)
-                cut = np.searchsorted(h >> np.uint64(bits - log_ranges), np.arange((1 << log_ranges) + 1, dtype="u8")) if log_ranges else np.array([0, len(h)])
-                rows += [(k, place, packed(h[i:j]), small_ints(n[i:j])) for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if i < j]
+                rows += [(k, place, packed(h[i:j]), small_ints(n[i:j])) for k, i, j in _ranges(h, bits, log_ranges)]
             held.clear()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["range", "place", "hashes", "counts"])
@@ -179,3 +192,135 @@ def counted(table: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], ex
     path = new_dir(table.sparkSession, name)
     found.repartition("place").write.partitionBy("place").option("compression", "zstd").parquet(path)
     return Counts(path, bits)
+
+
+def ranks(ids: pa.Array) -> np.ndarray:
+    """Integers in the order of `ids`, a null least. Within one array only, unless ids are integers."""
+    if pa.types.is_integer(ids.type):
+        return ids.fill_null(-(1 << 63) if ids.type == pa.int64() else np.iinfo(ids.type.to_pandas_dtype()).min).to_numpy(zero_copy_only=False).astype("i8")
+    return pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype("i8")
+
+
+@dataclass
+class Firsts:
+    """The written lists of `firsts`. Used in the workers."""
+
+    path: str
+    bits: int
+
+    def of(self, place: int) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray] | None:
+        """(hashes, ascending and cut to `bits`; id, tie and position of the first occurrence) of a place's recurring hashes."""
+        h, ids, ties, pos = [], [], [], []
+        for x, i, t, p in _lists(self.path, place, ["hashes", "ids", "ties", "pos"]):
+            h.append(unpacked(x.as_py()))
+            ids.append(i.values)
+            ties.append(t.values.to_numpy())
+            pos.append(p.values.to_numpy())
+        if not h:
+            return None
+        h_ = np.concatenate(h)
+        order = np.argsort(h_, kind="stable")
+        return h_[order], pa.chunked_array(ids).combine_chunks().take(pa.array(order)), np.concatenate(ties)[order], np.concatenate(pos)[order]
+
+    def cut(self, h: np.ndarray) -> np.ndarray:
+        return h >> np.uint64(64 - self.bits)
+
+
+def firsts(table: DataFrame, found: Callable[[pa.RecordBatch, int], tuple[np.ndarray, np.ndarray, np.ndarray]], expected: int, name: str) -> Firsts:
+    """The first occurrence in the corpus of each hash that recurs, by (id, tie, position), told to each place that has it.
+
+    `table` is `placed` and begins with the columns id and tie; `found(batch, place)` gives hash, row and position of
+    each occurrence. Each place sends one occurrence of a hash, its first.
+    """
+    bits, log_ranges = _sizes(expected)
+    column = table.columns.index("place")
+    kind = dict(table.dtypes)["id"]
+
+    def batch(rows, first_names):
+        """rows: (*ints, packed hashes, counts or None, ids, ties, pos)"""
+        if not rows:
+            return
+        ints_ = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(first_names))]
+        sizes = np.cumsum([0, *(len(r[-3]) for r in rows)])
+        offsets = pa.array(sizes, pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.chunked_array([r[-3] for r in rows]).combine_chunks()), *(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[i] for r in rows]).astype("i4"))) for i in (-2, -1))]
+        texts = [pa.array([r[i] for r in rows], pa.binary()) for i in range(len(first_names), len(rows[0]) - 3)]
+        yield pa.RecordBatch.from_arrays([*ints_, *texts, *lists], names=[*first_names, "hashes", *["counts"] * (len(texts) - 1), "ids", "ties", "pos"])
+
+    def first(parts):
+        held: dict[int, list[tuple]] = {}
+        size = 0
+
+        def flush():
+            rows = []
+            for place, own in held.items():
+                h = np.concatenate([x[0] for x in own]) >> np.uint64(64 - bits)
+                pos = np.concatenate([x[2] for x in own])
+                base = np.cumsum([0, *(len(x[3]) for x in own)])
+                doc = np.concatenate([x[1] + k for x, k in zip(own, base)])
+                ids, ties = pa.chunked_array([x[3] for x in own]).combine_chunks(), np.concatenate([x[4] for x in own])
+                r = ranks(ids)
+                by = np.lexsort((ties, r))
+                rank = np.empty(len(by), "i8")
+                # rows that repeat id and tie are one document
+                rank[by] = np.cumsum(np.concatenate([[0], (r[by][1:] != r[by][:-1]) | (ties[by][1:] != ties[by][:-1])]))[: len(by)]
+                order = np.lexsort((pos, rank[doc], h))
+                h, pos, doc = h[order], pos[order], doc[order]
+                start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, "i8")
+                n = np.diff(np.append(start, len(h)))
+                h, pos, doc = h[start], pos[start], doc[start]
+                rows += [(k, place, packed(h[i:j]), small_ints(n[i:j]), ids.take(pa.array(doc[i:j])), ties[doc[i:j]], pos[i:j]) for k, i, j in _ranges(h, bits, log_ranges)]
+            held.clear()
+            yield from batch(rows, ["range", "place"])
+
+        for b in small(parts):
+            for i, j in runs_of(b.column(column).to_numpy()):
+                part = b.slice(i, j - i)
+                place = part.column(column)[0].as_py()
+                h, doc, pos = found(part, place)
+                held.setdefault(place, []).append((h, doc, pos, part.column(0), part.column(1).to_numpy()))
+                size += len(h)
+                if size > HELD:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    def second(parts):
+        def work(rows):
+            each = [unpacked(r[1].as_py()) for r in rows]
+            owner = np.repeat(np.arange(len(each)), [len(h) for h in each])
+            h, n = np.concatenate(each), np.concatenate([ints(r[2].as_py(), len(x)) for r, x in zip(rows, each)])
+            ids = pa.chunked_array([r[3].values for r in rows]).combine_chunks()
+            ties, pos = (np.concatenate([r[k].values.to_numpy() for r in rows]) for k in (4, 5))
+            order = np.lexsort((pos, ties, ranks(ids), h))
+            h, n, owner = h[order], n[order], owner[order]
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            sizes = np.diff(np.append(start, len(h)))
+            again = np.repeat(np.add.reduceat(n, start), sizes) > 1
+            best = np.repeat(order[start], sizes)
+            at = np.flatnonzero(again)
+            at = at[np.argsort(owner[at], kind="stable")]
+            made = []
+            for i, j in runs_of(owner[at]) if len(at) else ():
+                k = at[i:j]
+                # of what a place sent in parts, each hash once is enough
+                made.append((rows[owner[k[0]]][0].as_py(), packed(h[k]), ids.take(pa.array(best[k])), ties[best[k]], pos[best[k]]))
+            yield from batch(made, ["place"])
+
+        key, rows = None, []
+        for b in small(parts):
+            for k, *r in zip(b.column(0).to_pylist(), *b.columns[1:]):
+                if k != key and rows:
+                    yield from work(rows)
+                    rows = []
+                key = k
+                rows.append(r)
+        if rows:
+            yield from work(rows)
+
+    lists = f"ids array<{kind}>, ties array<int>, pos array<int>"
+    sent = table.mapInArrow(first, f"range long, place long, hashes binary, counts binary, {lists}")
+    told = sent.repartition("range").sortWithinPartitions("range").mapInArrow(second, f"place long, hashes binary, {lists}")
+    path = new_dir(table.sparkSession, name)
+    told.repartition("place").write.partitionBy("place").option("compression", "zstd").parquet(path)
+    return Firsts(path, bits)

@@ -4,12 +4,13 @@ A suffix's longest previous factor reaches LENGTH bytes just if the previous or
 position in suffix order shares LENGTH bytes with it. One suffix array of all texts can't be held, so
 suffixes are sorted in groups that hold every suffix with the same first LENGTH bytes: each window of
 LENGTH bytes goes by the least hash of its GRAM-byte strings (its minimiser), and following windows with
-one minimiser travel as one segment. Minimisers that occur once hold no repeats; a bitmap of the others,
-of bounded size, keeps the rest at home (with more of them than it holds, in several passes).
+one minimiser travel as one segment. Minimisers that occur once hold no repeats; which do not is counted
+over the corpus and told to each block of the texts (`recurrence`), so the rest stays at home, and the
+work grows with the corpus and no faster.
 
 Exact copies of texts are found first. A task drops segments that it has sent before, which keeps hot
-passages small; and windows of minimisers that are hot over the whole corpus are not grouped at all but
-counted one by one, by their hash, with map-side combining.
+passages small; and windows of minimisers with more than HOT occurrences are not sorted but grouped by
+their bytes, one by one, with map-side combining: the least place of a group is its first.
 """
 
 from __future__ import annotations
@@ -22,15 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import vectors
+from . import recurrence, vectors
 from .common import materialize, small
 
 LENGTH, GRAM = 100, 32
-#: Bits of the bitmap for each repeated minimiser, at least and at most in all.
-BITS_EACH, MOST_BITS = 16, 1 << 28
-#: A minimiser is hot with so many occurrences or with this share of all of them, whichever is less, but never
-#: below LEAST_HOT; with more occurrences, if need be, so that at most MOST_HOT are.
-HOT, HOT_SHARE, LEAST_HOT, MOST_HOT = 50_000, 20_000, 1_000, 500_000
+#: A minimiser with more occurrences is hot. So many segments of at most 168 bytes are sorted at once.
+HOT = 20_000
 #: Bytes handled at once, and of the segments sorted at once.
 CHUNK, SORTED = 900_000, 2 << 20
 #: Sent segments that a task remembers.
@@ -61,16 +59,32 @@ def suffix_array(b: bytes) -> np.ndarray:
     return order
 
 
-def smaller(position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the previous and of the next smaller value (-1: none) of each."""
-    n = len(position)
-    before, after, stack = np.full(n, -1, "i8"), np.full(n, -1, "i8"), []
-    for i, p in enumerate(position):
-        while stack and position[stack[-1]] > p:
-            after[stack.pop()] = i
-        before[i] = stack[-1] if stack else -1
-        stack.append(i)
-    return before, after
+def smaller(position: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the previous and of the next smaller value of each (-1: none), inside its group if groups are given.
+
+    A candidate that isn't smaller hands over its own candidate: all between the two are larger.
+    """
+
+    def before(position, group):
+        n = len(position)
+        at = np.arange(n) - 1
+        open_ = np.arange(n)
+        while len(open_):
+            to = at[open_]
+            open_ = open_[to >= 0]
+            to = to[to >= 0]
+            if group is not None:
+                other = group[to] != group[open_]
+                at[open_[other]] = -1
+                open_, to = open_[~other], to[~other]
+            worse = position[to] > position[open_]
+            open_ = open_[worse]
+            at[open_] = at[to[worse]]
+        return at
+
+    last = len(position) - 1
+    after = before(position[::-1], None if group is None else group[::-1])[::-1]
+    return before(position, group), np.where(after < 0, -1, last - after)
 
 
 def longest_previous_factors(b: bytes) -> np.ndarray:
@@ -156,69 +170,38 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.hash(text).alias("tie"), F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("text"))
 
 
-def _minimisers(firsts: DataFrame) -> DataFrame:
-    """(hash, n): occurrences of each minimiser of more than one segment."""
-
-    def run(parts):
-        for b in small(parts):
-            found = [segments(c[0], c[1])[0] for c in chunks([t.encode() for t in b.column(0).to_pylist()])]
-            if found:
-                h, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view("i8")), pa.array(n)], names=["hash", "n"])
-
-    return firsts.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
-
-
-SLICE = 1 << 20
-
+def _counts(placed: DataFrame) -> recurrence.Counts:
+    """Occurrences of each minimiser, one for each of its segments."""
+    size = placed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    column = placed.columns.index("text")
 
-def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Bytes with bit `hash mod bits` set for every hash, put together from slices that tasks fill."""
-
-    def run(parts):
-        slices: dict[int, np.ndarray] = {}
-        for p in parts:
-            at = p.column(0).to_numpy().view("u8") & np.uint64(bits - 1)
-            for s in np.unique(at >> np.uint64(20)):
-                own = slices.setdefault(int(s), np.zeros(SLICE, bool))
-                own[(at[(at >> np.uint64(20)) == s] & np.uint64(SLICE - 1)).astype("i8")] = True
-        for s, own in slices.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(own, bitorder="little").tobytes()])], names=["slice", "bits"])
-
-    part = F.shiftrightunsigned(F.col("hash").bitwiseAND(bits - 1), 20)
-    out = np.zeros(max(1, bits // 8), "u1")
-    got = hashes.select("hash").repartition(part).mapInArrow(run, "slice long, bits binary").toArrow()
-    for s, own in zip(got.column("slice").to_pylist(), got.column("bits").to_pylist()):
-        own = np.frombuffer(own, "u1")
-        out[s * SLICE // 8 : s * SLICE // 8 + len(own)] |= own[: len(out)]
-    return out
+    def hashes(b: pa.RecordBatch) -> np.ndarray:
+        found = [segments(c[0], c[1])[0] for c in chunks([t.encode() for t in b.column(column).to_pylist()])]
+        return np.concatenate(found) if found else np.zeros(0, "u8")
 
+    # a segment has some (LENGTH - GRAM) / 2 windows
+    return recurrence.counted(placed, hashes, 2 * size // (LENGTH - GRAM), "minimisers")
 
-def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h & np.uint64(len(bitmap) * 8 - 1)
-    return (bitmap[(at >> np.uint64(3)).astype("i8")] >> (at & np.uint64(7)).astype("u1")) & np.uint8(1) == 1
 
-
-def _sent(firsts: DataFrame, bitmap, hot, passes: int, turn: int) -> DataFrame:
+def _sent(placed: DataFrame, counts: recurrence.Counts) -> DataFrame:
     """Rows (hash, id, tie, start, windows, bytes): segments to sort; without bytes, spans known already;
     with a negative count of windows, one window of a hot minimiser, by a hash of its own."""
-    kind = dict(firsts.dtypes)["id"]
+    kind = dict(placed.dtypes)["id"]
 
     def run(parts):
-        bits, warm = bitmap.value, hot.value
         seen: dict[int, tuple] = {}
-        for b in small(parts):
+        for b in (p.slice(i, j - i) for p in small(parts) for i, j in recurrence.runs_of(p.column(3).to_numpy())):
+            place = b.column(3)[0].as_py()
             ids, ties, raw = b.column(0).to_pylist(), b.column(1).to_pylist(), [t.encode() for t in b.column(2).to_pylist()]
-            h_, row_, start_, n_, bytes_ = [], [], [], [], []
+            h_, row_, start_, windows_, bytes_ = [], [], [], [], []
             for c, ends, begin, texts, offset in chunks(raw):
                 h, first, size = segments(c, ends)
-                ok = _has(bits, h)
-                if passes > 1:
-                    ok &= h % np.uint64(passes) == np.uint64(turn)
+                n_ = counts.count(place, h)
+                ok = n_ > 1
+                is_hot = n_[ok] > HOT
                 h, first, size = h[ok], first[ok], size[ok]
                 k = np.searchsorted(begin, first, "right") - 1
                 text, start = texts[k], first - begin[k] + offset[k]
-                is_hot = np.isin(h, warm)
                 data = c.tobytes()
                 for hh, f, n, t, s, w in zip(h.view("i8").tolist(), first.tolist(), size.tolist(), text.tolist(), start.tolist(), is_hot.tolist()):
                     seg = data[f : f + n + LENGTH - 1]
@@ -229,29 +212,29 @@ def _sent(firsts: DataFrame, bitmap, hot, passes: int, turn: int) -> DataFrame:
                     row_.append(t)
                     start_.append(s)
                     if other is not None and other < own:
-                        n_.append(n)
+                        windows_.append(n)
                         bytes_.append(None)
                         continue
                     if len(seen) > REMEMBER:
                         seen.clear()
                     seen[mark] = own
                     if not w:
-                        n_.append(n)
+                        windows_.append(n)
                         bytes_.append(seg)
                         continue
                     h_.pop(), row_.pop(), start_.pop()
                     for j in range(n):
-                        d = xxhash.xxh3_128_digest(seg[j : j + LENGTH])
-                        h_.append(int.from_bytes(d[:8], "big", signed=True))
+                        string = seg[j : j + LENGTH]
+                        h_.append(int.from_bytes(xxhash.xxh3_64_digest(string), "big", signed=True))
                         row_.append(t)
                         start_.append(s + j)
-                        n_.append(-1)
-                        bytes_.append(d[8:])
+                        windows_.append(-1)
+                        bytes_.append(string)
             if h_:
                 rows = pa.array(row_, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(h_, pa.int64()), b.column(0).take(rows), b.column(1).take(rows), pa.array(start_, pa.int32()), pa.array(n_, pa.int32()), pa.array(bytes_, pa.binary())], names=["hash", "id", "tie", "start", "windows", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(h_, pa.int64()), b.column(0).take(rows), b.column(1).take(rows), pa.array(start_, pa.int32()), pa.array(windows_, pa.int32()), pa.array(bytes_, pa.binary())], names=["hash", "id", "tie", "start", "windows", "bytes"])
 
-    return firsts.select("id", "tie", "text").mapInArrow(run, f"hash long, id {kind}, tie int, start int, windows int, bytes binary")
+    return placed.select("id", "tie", "text", "place").mapInArrow(run, f"hash long, id {kind}, tie int, start int, windows int, bytes binary")
 
 
 def repeated(group: np.ndarray, segs: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,12 +270,11 @@ def repeated(group: np.ndarray, segs: list[bytes], sizes: np.ndarray) -> tuple[n
     for key in keys:
         k = key[order]
         differs |= k[1:] != k[:-1]
-    # in a run of suffixes that share LENGTH bytes, one has a previous or next smaller position unless it is the run's least
-    run = np.concatenate([[0], np.cumsum(differs)])
+    # the longest previous factor reaches LENGTH where the previous or the next smaller position is in the same run of
+    # suffixes that share LENGTH bytes
     place = i[order]
-    least = np.full(run[-1] + 1, len(h))
-    np.minimum.at(least, run, place)
-    later = place[place != least[run]]
+    before, after = smaller(place, np.concatenate([[0], np.cumsum(differs)]))
+    later = place[(before >= 0) | (after >= 0)]
     return seg[later], window[later]
 
 
@@ -360,38 +342,12 @@ def _sorted(sent: DataFrame) -> DataFrame:
 
 def spans(firsts: DataFrame) -> DataFrame:
     """(id, tie, start, end): bytes of each text that a string of LENGTH bytes covers which starts earlier too."""
-    spark = firsts.sparkSession
-    again = materialize(_minimisers(firsts), "minimisers")
-    row = again.agg(F.count("*"), F.sum("n")).first()
-    many, total = row[0], row[1] or 0
-    hot_from = max(LEAST_HOT, min(HOT, total // HOT_SHARE), total // MOST_HOT)
-    warm = np.sort(np.array([r[0] for r in again.where(F.col("n") > hot_from).select("hash").toLocalIterator()], "i8").view("u8"))
-    passes = max(1, -(-many * BITS_EACH // MOST_BITS))
-    bits = 1 << max(20, (max(1, many // passes) * BITS_EACH - 1).bit_length())
-    bits = min(bits, MOST_BITS)
-    hot = spark.sparkContext.broadcast(warm)
-    out = None
-    for turn in range(passes):
-        # Spark's pmod of a signed hash differs from the unsigned remainder, so the turn is taken from the bits in Python
-        own = again if passes == 1 else _turn(again, passes, turn)
-        sent = materialize(_sent(firsts, spark.sparkContext.broadcast(_bitmap(own, bits)), hot, passes, turn), "sent")
-        found = _sorted(sent.where("windows > 0"))
-        if len(warm):
-            window = sent.where("windows < 0")
-            first = window.groupBy("hash", "bytes").agg(F.min(F.struct("id", "tie", "start")).alias("f"), F.count("*").alias("n")).where("n > 1").select("hash", "bytes", "f")
-            same = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("tie") == F.col("f.tie")) & (F.col("start") == F.col("f.start"))
-            found = found.union(window.join(first, ["hash", "bytes"]).where(~same).select("id", "tie", "start", (F.col("start") + LENGTH).alias("end")))
-        out = found if out is None else out.union(found)
-    return out
-
-
-def _turn(hashes: DataFrame, passes: int, turn: int) -> DataFrame:
-    def run(parts):
-        for p in parts:
-            h = p.column(0).to_numpy().view("u8")
-            yield p.filter(pa.array(h % np.uint64(passes) == np.uint64(turn)))
-
-    return hashes.select("hash", "n").mapInArrow(run, "hash long, n long")
+    placed = recurrence.placed(firsts.select("id", "tie", "text"), "firsts")
+    sent = materialize(_sent(placed, _counts(placed)), "sent")
+    window = sent.where("windows < 0")
+    first = window.groupBy("hash", "bytes").agg(F.min(F.struct("id", "tie", "start")).alias("f"), F.count("*").alias("n")).where("n > 1").select("hash", "bytes", "f")
+    same = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("tie") == F.col("f.tie")) & (F.col("start") == F.col("f.start"))
+    return _sorted(sent.where("windows > 0")).union(window.join(first, ["hash", "bytes"]).where(~same).select("id", "tie", "start", (F.col("start") + LENGTH).alias("end")))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
