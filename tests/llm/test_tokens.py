@@ -7,9 +7,10 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from texts import corpus, frame
 
-from tidemark.llm import bpe, packing
+from tidemark.llm import bpe, packing, recurrence
 from tidemark.llm.queries import vocabulary
 from tidemark.llm.tokens import ByteEncoder, WordTable
 
@@ -64,14 +65,30 @@ def test_bpe(spark, library):
         want[i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()] += 1
     assert got == want
     enc = bpe.encode(frame(spark, rows), path)
-    more = rows + [(600, "a <|endoftext|> b"), (601, "x\u2003y\u00a0z\x1cw")]
-    plain = lambda df: Counter((r[0], tuple(r[1])) for r in df.collect())
-    assert plain(bpe.encode_joined(frame(spark, more), path)) == plain(bpe.encode(frame(spark, more), path))
     back = Counter(tuple(r) for r in bpe.decode(enc, path).collect())
     assert back == Counter((i, lib.decode(lib.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False)) for i, t in rows)
     assert bpe.digests(frame(spark, rows).where("false"), path).count() == 0
 
 
+def test_bpe_tables(spark, library, monkeypatch, tmp_path):
+    """One table of words for the corpus, in many ranges and parts; from files, left where they are."""
+    monkeypatch.setattr(bpe, "RANGE_BYTES", 3000)
+    monkeypatch.setattr(bpe, "HELD", 200)
+    path, lib = vocabulary(WORD), library[WORD]
+    rows = corpus() + [(600, "a <|endoftext|> b"), (601, "x\u2003y\u00a0z\x1cw"), (602, "<|"), (603, "nothing\u2003else\u0085here"), (604, "é😀 Ünï")]
+    df = frame(spark, rows)
+    df.write.parquet(f"file://{tmp_path}/docs")
+    files = spark.read.parquet(f"file://{tmp_path}/docs")
+    want = Counter((i, tuple(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    for docs in (df, files):
+        assert Counter((r[0], tuple(r[1])) for r in bpe.encode(docs, path).collect()) == want
+    assert Counter((r[0], r[1]) for r in bpe.digests(files, path).select("doc_id", "n_tokens").collect()) == Counter((i, len(x)) for i, x in want.elements())
+    scan = recurrence.in_place(files.select("doc_id", F.upper("text")), "t")
+    assert "shared" not in scan.inputFiles()[0] and recurrence.in_place(df, "t").inputFiles()[0] not in scan.inputFiles()
+    none = spark.createDataFrame([(1, None), (2, [5, 7])], "doc_id long, ids array<int>")
+    assert {r[0]: r[1] for r in bpe.decode(none, path).collect()} == {1: "", 2: lib.decode([5, 7], skip_special_tokens=False)}
+
+
 def check_packed(rows, capacity):
     """Sequences without gaps or overlaps, none too long."""
     by = defaultdict(list)

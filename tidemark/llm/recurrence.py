@@ -34,6 +34,16 @@ def placed(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name).withColumn("place", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
 
 
+def in_place(df: DataFrame, name: str) -> DataFrame:
+    """As `placed`, but a table read from files with nothing but projections and filters is left where it is."""
+    tree = df._jdf.queryExecution().optimizedPlan()
+    while tree.children().size() == 1 and tree.nodeName() in ("Project", "Filter"):
+        tree = tree.children().head()
+    if tree.children().size() or not tree.nodeName().startswith("LogicalRelation"):
+        return placed(df, name)
+    return df.withColumn("place", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+
+
 def packed(h: np.ndarray) -> bytes:
     """Ascending hashes as their first one, then differences in the fewest bytes that hold them all."""
     d = np.diff(h)
@@ -65,7 +75,7 @@ def runs_of(place: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(at[:-1].tolist(), at[1:].tolist())
 
 
-def _lists(path: str, place: int, columns: list[str]) -> Iterator[tuple]:
+def lists(path: str, place: int, columns: list[str]) -> Iterator[tuple]:
     """Rows of the lists written for a place."""
     from pyarrow import fs
 
@@ -92,7 +102,7 @@ class Counts:
         """(hashes, ascending and cut to `bits`; how often each occurs in the corpus) of a place's recurring hashes."""
         if self._place != place or self._held is None:
             h, n = [np.zeros(0, "u8")], [np.zeros(0, "i8")]
-            for x, c in _lists(self.path, place, ["hashes", "counts"]):
+            for x, c in lists(self.path, place, ["hashes", "counts"]):
                 h.append(unpacked(x.as_py()))
                 n.append(ints(c.as_py(), len(h[-1])))
             h_, n_ = np.concatenate(h), np.concatenate(n)
@@ -211,7 +221,7 @@ class Firsts:
     def of(self, place: int) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray] | None:
         """(hashes, ascending and cut to `bits`; id, tie and position of the first occurrence) of a place's recurring hashes."""
         h, ids, ties, pos = [], [], [], []
-        for x, i, t, p in _lists(self.path, place, ["hashes", "ids", "ties", "pos"]):
+        for x, i, t, p in lists(self.path, place, ["hashes", "ids", "ties", "pos"]):
             h.append(unpacked(x.as_py()))
             ids.append(i.values)
             ties.append(t.values.to_numpy())
