@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -71,11 +72,44 @@ def test_variables_that_overlap():
     assert pattern.match_masks(program, [1, 3, 3, 1]) == [(0, [0, 0, 1])]
 
 
-def test_runs(spark):
-    got = pattern.runs(days(spark, [10, 12, 15, 13, 11, 12, 9]), ["dev"], ["ts"], [("U", up_down()["UP"]), ("D", up_down()["DOWN"])], "U+D+")
+def test_a_failing_run_is_looked_at_once():
+    program = pattern.compile_pattern("A+ B")
+    began = time.time()
+    assert pattern.match_masks(program, [1] * 100_000) == []
+    assert pattern.match_masks(program, [1] * 100_000 + [2]) == [(0, [0] * 100_000 + [1])]
+    assert time.time() - began < 10
+
+
+def test_open_matches_are_bounded(monkeypatch):
+    monkeypatch.setattr(pattern, "MOST_OPEN", 100)
+    with pytest.raises(MemoryError):
+        pattern.match_masks(pattern.compile_pattern("A+ B"), [1] * 1000)
+
+
+def test_islands(spark):
+    got = pattern.islands(days(spark, [10, 12, 15, 13, 11, 12, 9]), ["dev"], ["ts"], up_down(), ["UP", "DOWN"])
     assert [(r["match_number"], r["length"], r["first_ts"].day, r["last_ts"].day) for r in got.orderBy("match_number").collect()] == [(1, 4, 2, 5), (2, 2, 6, 7)]
 
 
+def test_percentiles(spark, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(relational, "CELLS", 7)
+    data = [(g, v) for g in ("a", "b", None) for v in [rng.choice([1.0, 2.0, 2.5, rng.uniform(-9, 9)]) for _ in range(200 if g else 3)]] + [("one", 4.0), ("same", 1.0), ("same", 1.0), ("none", None), ("a", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(3)
+    rates = {"p0": 0.0, "p25": 0.25, "med": 0.5, "p90": 0.9, "p100": 1.0}
+    got = {r["g"]: [r[k] for k in rates] for r in relational.percentiles(df, ["g"], "v", rates).collect()}
+    for g in {g for g, v in data if v is not None}:
+        own = sorted(v for x, v in data if x == g and v is not None)
+        for (name, rate), value in zip(rates.items(), got[g]):
+            at = rate * (len(own) - 1)
+            low, high = own[int(at)], own[min(len(own) - 1, -int(-at // 1))]
+            assert abs(value - (low + (high - low) * (at - int(at)))) < 1e-9, (g, name)
+    assert "none" not in got
+    assert relational.percentiles(df, [], "v", {"m": 0.5}).count() == 1
+    with pytest.raises(ValueError):
+        relational.percentiles(df, [], "v", {"m": 1.5})
+
+
 # --- changes, joins, order ----------------------------------------------------------------------
 
 

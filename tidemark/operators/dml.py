@@ -18,9 +18,10 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str], order: Column |
 
 
 def insert_or_ignore(target: DataFrame, rows: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
-    """Only rows whose key `target` doesn't have."""
+    """Only rows whose key `target` doesn't have. Of the target's keys only those that are new rows' too are put in order."""
     new = _last(rows.select(*target.columns), keys, order)
-    return target.unionByName(new.join(target.select(*keys).distinct(), keys, "left_anti"))
+    there = target.select(*keys).join(new.select(*keys), keys, "left_semi").distinct()
+    return target.unionByName(new.join(there, keys, "left_anti"))
 
 
 def insert(target: DataFrame, rows: DataFrame) -> DataFrame:
@@ -47,6 +48,13 @@ def multi_get(tables: dict[str, DataFrame], key: str, keys: list) -> DataFrame:
     return out
 
 
+def multi_put(tables: dict[str, DataFrame], rows: dict[str, DataFrame], keys: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """Rows for several tables at once; each replaces those with its key."""
+    if unknown := set(rows) - set(tables):
+        raise ValueError(f"no tables {sorted(unknown)}")
+    return {n: upsert(df, rows[n], keys[n]) if n in rows else df for n, df in tables.items()}
+
+
 def add_column(target: DataFrame, name: str, kind: str, default=None) -> DataFrame:
     """ALTER TABLE ADD COLUMN: rows there already hold the default."""
     if name in target.columns:

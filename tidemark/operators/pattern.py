@@ -3,8 +3,8 @@
 DEFINE conditions are column expressions, with `prev` and `next_` for neighbouring rows, and are evaluated
 by Spark: each row carries the bits of the variables it satisfies. The pattern is compiled to a small
 automaton that runs over the sorted rows of a partition as they stream by; greedy alternatives come
-first, as in the standard, matches don't overlap (SKIP PAST LAST ROW), and only the rows of open matches
-are held. `runs` is a shorter way for patterns of mutually exclusive variables, in SQL expressions only.
+first, as in the standard, and matches don't overlap (SKIP PAST LAST ROW). `islands` is a shorter way for
+runs of mutually exclusive variables one after the other, in window expressions only.
 """
 
 from __future__ import annotations
@@ -141,12 +141,18 @@ def compile_pattern(pattern: str) -> Program:
     return Program(code, names)
 
 
+#: Steps of open matches that a partition may hold, at a row, before it is an error; as the reference's memory limit.
+MOST_OPEN = 50_000_000
+
+
 def match_masks(program: Program, masks: list[int]) -> list[tuple[int, list[int]]]:
     """(first row, variable of each row) of the matches in one partition: leftmost, greedy, not overlapping.
 
-    Threads are kept in order of preference, so time is rows times instructions. Empty matches are skipped.
+    One pass: threads are kept in order of preference, and while nothing has matched each row starts one more, the
+    least preferred, so a row is looked at once for each instruction, whatever fails. After a match the pass goes on
+    from its end. Empty matches are skipped. MemoryError beyond MOST_OPEN rows of open matches.
     """
-    out, begin, n, code = [], 0, len(masks), program.code
+    out, n, code = [], len(masks), program.code
 
     def follow(pc: int, i: int, path, threads: list, seen: set) -> None:
         stack = [pc]
@@ -169,31 +175,35 @@ def match_masks(program: Program, masks: list[int]) -> list[tuple[int, list[int]
             else:
                 threads.append((pc, path))
 
-    while begin < n:
-        threads: list = []
-        follow(0, begin, None, threads, set())
-        best, i = None, begin
-        while threads:
-            after: list = []
-            seen: set = set()
-            for pc, path in threads:
-                if code[pc][0] == "match":
-                    best = (i, path)
+    # a path is (variable, path before, first row, rows)
+    i, threads, best = 0, [], None
+    seen: set = set()
+    while True:
+        if best is None and i < n:
+            follow(0, i, None, threads, seen)
+        after: list = []
+        seen = set()
+        for pc, path in threads:
+            if code[pc][0] == "match":
+                if path is not None:
+                    best = path
                     break
-                if i < n and masks[i] >> code[pc][1] & 1:
-                    follow(pc + 1, i + 1, (code[pc][1], path), after, seen)
-            threads = after
-            i += 1
-        if best and best[1] is not None:
-            end, path = best
-            found = []
+            elif i < n and masks[i] >> code[pc][1] & 1:
+                step = (code[pc][1], path, i, 1) if path is None else (code[pc][1], path, path[2], path[3] + 1)
+                if step[3] * len(threads) > MOST_OPEN:
+                    raise MemoryError(f"more than {MOST_OPEN} rows of open matches")
+                follow(pc + 1, i + 1, step, after, seen)
+        threads, i = after, i + 1
+        if best is not None and not threads:
+            begin, size, found = best[2], best[3], []
+            path = best
             while path is not None:
                 found.append(path[0])
                 path = path[1]
             out.append((begin, found[::-1]))
-            begin = end
-        else:
-            begin += 1
+            i, best, seen = begin + size, None, set()
+        if i > n or (i == n and not threads and best is None):
+            break
     return out
 
 
@@ -280,16 +290,27 @@ def last(column: str, order_by: list[str], variable: str | None = None) -> Colum
     return F.max_by(column, of if variable is None else F.when(F.col("classifier") == variable, of))
 
 
-def runs(df: DataFrame, partition_by: list[str], order_by: list[str], letters: list[tuple[str, Column]], regex: str) -> DataFrame:
-    """(partition_by..., match_number, length, first_*, last_* of order_by): matches of a regular expression over
-    one letter for each row, for variables that exclude each other. SQL expressions only."""
-    letter = F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(x)) for x, c in letters], F.lit("."))
+def islands(df: DataFrame, partition_by: list[str], order_by: list[str], letters: dict[str, Column], sequence: list[str]) -> DataFrame:
+    """(partition_by..., match_number, length, first_*, last_* of order_by): matches of a pattern like `UP+ DOWN+`, one or
+    more rows of each variable in `sequence` in turn, for variables that exclude each other and occur once.
+
+    Rows of one variable in a row are an island; islands are single rows after one aggregation, and neighbours are
+    compared by windows, so no series is held in memory. Of conditions true together the first in `letters` counts.
+    """
+    if len(set(sequence)) != len(sequence) or not set(sequence) <= set(letters):
+        raise ValueError("each variable of the sequence must be defined and stand once")
+    letter = F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(x)) for x, c in letters.items()], F.lit(""))
+    w = Window.partitionBy(*partition_by).orderBy(*order_by)
+    rows = df.select(*partition_by, *order_by, letter.alias("_c"))
+    rows = rows.withColumn("_new", F.when(F.coalesce(F.lag("_c").over(w) == F.col("_c"), F.lit(False)), 0).otherwise(1))
+    rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     at = F.struct(*order_by)
-    got = df.select(*partition_by, at.alias("o"), letter.alias("c")).groupBy(*partition_by).agg(F.sort_array(F.collect_list(F.struct("o", "c"))).alias("rows"))
-    text = F.array_join(F.transform("rows", lambda r: r["c"]), "")
-    got = got.select(*partition_by, "rows", F.transform(F.split(text, regex, -1), F.char_length).alias("gaps"), F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.char_length).alias("sizes"))
-    got = got.select(*partition_by, "rows", "gaps", "sizes", F.posexplode("sizes").alias("k", "length")).where("length > 0")
-    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + x)
-    begin = total(F.col("gaps"), F.col("k") + 1) + total(F.col("sizes"), F.col("k")) + 1
-    got = got.withColumn("_f", F.element_at("rows", begin)["o"]).withColumn("_l", F.element_at("rows", begin + F.col("length") - 1)["o"])
-    return got.select(*partition_by, (F.col("k") + 1).cast("long").alias("match_number"), F.col("length").cast("long").alias("length"), *[F.col("_f")[c].alias(f"first_{c}") for c in order_by], *[F.col("_l")[c].alias(f"last_{c}") for c in order_by])
+    got = rows.groupBy(*partition_by, "_island").agg(F.first("_c").alias("_c"), F.count("*").alias("_k"), F.min(at).alias("_f"), F.max(at).alias("_l"))
+    w = Window.partitionBy(*partition_by).orderBy("_island")
+    hit, size, last_ = F.lit(True), F.col("_k"), F.col("_l")
+    for i, x in enumerate(sequence):
+        hit = hit & F.coalesce((F.lead("_c", i).over(w) if i else F.col("_c")) == x, F.lit(False))
+        if i:
+            size, last_ = size + F.lead("_k", i).over(w), F.lead("_l", i).over(w)
+    got = got.select(*partition_by, "_island", hit.alias("_hit"), size.alias("length"), "_f", last_.alias("_l")).where("_hit")
+    return got.select(*partition_by, F.row_number().over(w).cast("long").alias("match_number"), F.col("length").cast("long").alias("length"), *[F.col("_f")[c].alias(f"first_{c}") for c in order_by], *[F.col("_l")[c].alias(f"last_{c}") for c in order_by])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,3 +62,45 @@ def moving(df: DataFrame, by: list[str], time: str, value: str, aggs: dict[str,
     else:
         w = Window.partitionBy(*by).orderBy(time).rowsBetween(-(rows or 1) + 1, 0)
     return df.withColumns({n: F.call_function(f, F.col(value)).over(w) for n, f in aggs.items()})
+
+
+#: Parts into which a group's values are cut to find those around a rank.
+CELLS = 1024
+
+
+def percentiles(df: DataFrame, by: list[str], column: str, rates: dict[str, float]) -> DataFrame:
+    """(by..., one column for each rate): exact PERCENTILE_CONT of groups of any size; nulls are left out.
+
+    A group's range is cut in CELLS parts, whose counts (combined on the map side) tell which of them hold the ranks
+    asked for. Only values of those parts are put in order, as distinct values with their counts; no group is held
+    in one buffer. A group without values has no row.
+    """
+    for r in rates.values():
+        if not 0 <= r <= 1:
+            raise ValueError("a rate lies between 0 and 1")
+    v = F.col("_v")
+    rows = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v"))
+    ends = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in by], F.lit(True))
+    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(CELLS - 1), F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS))).otherwise(F.lit(0)).cast("int")
+    ends = ends if by else F.broadcast(ends)  # without groups it is one row
+    cells = rows.alias("r").join(ends.alias("e"), same("r", "e")).select(*[F.col(f"r.{k}").alias(k) for k in by], cell.alias("_cell"), v, "_n")
+    counts = cells.groupBy(*by, "_cell").agg(F.count("*").alias("_k"), F.first("_n").alias("_n"))
+    before = F.sum("_k").over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k")
+    counts = counts.withColumn("_before", before)
+    ranks = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(r).alias("rate")) for n, r in rates.items()])
+    at = F.col("_x.rate") * (F.col("_n") - 1)
+    wanted = counts.withColumn("_x", F.explode(ranks)).withColumn("_at", at)
+    wanted = wanted.where((F.ceil("_at") >= F.col("_before")) & (F.floor("_at") < F.col("_before") + F.col("_k")))
+    held = wanted.select(*by, "_cell", "_before").distinct()
+    picked = cells.alias("c").join(held.alias("h"), same("c", "h") & (F.col("c._cell") == F.col("h._cell"))).select(*[F.col(f"c.{k}").alias(k) for k in by], F.col("c._cell").alias("_cell"), "_before", "_v", "_n")
+    each = picked.groupBy(*by, "_cell", "_before", "_n", "_v").agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    each = each.withColumn("_end", upto).withColumn("_start", F.col("_end") - F.col("_k"))
+    out = []
+    for n, r in rates.items():
+        x = F.lit(float(r)) * (F.col("_n") - 1)
+        low = F.max(F.when((F.floor(x) >= F.col("_start")) & (F.floor(x) < F.col("_end")), v))
+        high = F.max(F.when((F.ceil(x) >= F.col("_start")) & (F.ceil(x) < F.col("_end")), v))
+        out.append((low + (high - low) * F.max(x - F.floor(x))).alias(n))
+    return each.groupBy(*by).agg(*out)

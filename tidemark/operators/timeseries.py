@@ -49,15 +49,21 @@ def range_group(
     begin=None,
     end=None,
     most: int = MOST_ROWS,
+    zone: str | None = None,
 ) -> DataFrame:
-    """GROUP BY RANGE(key) EVERY(every, unit, offset) [FILL(...)]: (by..., key, aggregates...).
+    """GROUP BY RANGE(key) EVERY(every, unit, offset[, zone]) [FILL(...)]: (by..., key, aggregates...).
 
     `fill` is None or 'none' (only intervals with rows), 'null', 'previous' or 'linear'; gaps are filled
     from `begin` to `end` (inclusive bounds on the key; by default those of the data). Linear filling
     needs a neighbour on both sides; integers are truncated, other types take the previous value. Rows
-    with a null key are left out. More than `most` intervals of a series raise an error.
+    with a null key are left out. More than `most` intervals of a series raise an error. With a `zone`
+    intervals are counted in its local time, so a day begins at its midnight.
     """
     by = by or []
+    if zone:
+        local = lambda x: None if x is None else F.from_utc_timestamp(F.lit(x).cast("timestamp"), zone)
+        got = range_group(df.withColumn(key, F.from_utc_timestamp(key, zone)), key, every, unit, aggs, by, offset, fill, local(begin), local(end), most)
+        return got.withColumn(key, F.to_utc_timestamp(key, zone))
     if begin is not None:
         df = df.where(F.col(key) >= F.lit(begin))
     if end is not None:
@@ -74,31 +80,33 @@ def fill_gaps(got: DataFrame, key: str, every: int, unit: str, values: list[str]
     fill = fill.lower()
     if fill not in ("null", "previous", "linear"):
         raise ValueError(f"FILL({fill})")
-    step = micros(every, unit)
-    low = F.min(key) if begin is None else bucket(F.lit(begin).cast("timestamp"), every, unit, offset)
-    high = F.max(key) if end is None else bucket(F.lit(end).cast("timestamp"), every, unit, offset)
-    ends = got.groupBy(*by).agg(F.min(key).alias("_first"), low.alias("_low"), high.alias("_high")).where("_first is not null")
-    count = F.call_function("div", _us("_high") - _us("_low"), F.lit(step)) + 1
-    checked = F.when(count > most, F.raise_error(F.concat(F.lit(f"more than {most} intervals: "), count.cast("string"))).cast("bigint")).otherwise(_us("_high"))
-    grid = ends.select(*by, F.explode(F.sequence(_us("_low"), checked, F.lit(step))).alias("_us"))
-    grid = grid.select(*[F.col(k).alias(f"_{k}") for k in by], _ts(F.col("_us")).alias("_key"))
-    out = grid.join(got, _same(by) & (F.col("_key") == F.col(key)), "left")
-    out = out.select(*[F.col(f"_{k}").alias(k) for k in by], F.col("_key").alias(key), F.col(key).isNotNull().alias("_there"), *values)
-    if fill == "null":
-        return out.select(*by, key, *values)
-    before = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*by).orderBy(key).rowsBetween(0, Window.unboundedFollowing)
-    row = F.when(F.col("_there"), F.struct(key, *values))
-    out = out.withColumn("_p", F.last(row, True).over(before)).withColumn("_n", F.first(row, True).over(after))
+    step = F.lit(micros(every, unit))
+    series = Window.partitionBy(*by)
+    order = series.orderBy(key)
+    row = F.struct(key, *values)
+    first, last = _us(F.min(key).over(series)), _us(F.max(key).over(series))
+    low = first if begin is None else _us(bucket(F.lit(begin).cast("timestamp"), every, unit, offset))
+    high = last if end is None else _us(bucket(F.lit(end).cast("timestamp"), every, unit, offset))
+    # each row stands for the intervals up to the next row, the first one also for those before it
+    out = got.select(*by, row.alias("_p"), F.lead(row).over(order).alias("_n"), (F.row_number().over(order) == 1).alias("_head"), low.alias("_low"), high.alias("_high"))
+    count = F.call_function("div", F.col("_high") - F.col("_low"), step) + 1
+    checked = F.when(count > most, F.raise_error(F.concat(F.lit(f"more than {most} intervals: "), count.cast("string"))).cast("bigint"))
+    own = _us(F.col("_p")[key])
+    until = F.coalesce(checked, _us(F.col("_n")[key]) - step, F.greatest("_high", own))
+    points = F.sequence(F.when(F.col("_head"), F.least("_low", own)).otherwise(own), until, step)
+    out = out.withColumn("_us", F.explode(points)).withColumn("_there", F.col("_us") == own).withColumn("_after", F.col("_us") >= own)
     kinds = {f.name: f.dataType for f in got.schema}
     made = []
     for v in values:
-        if fill == "linear" and isinstance(kinds[v], NumericType):
-            value = linear(_us(F.col("_p")[key]), F.col("_p")[v], _us(F.col("_n")[key]), F.col("_n")[v], _us(key), kinds[v].simpleString())
+        before = F.when(F.col("_after"), F.col("_p")[v])
+        if fill == "null":
+            value = F.lit(None).cast(kinds[v])
+        elif fill == "linear" and isinstance(kinds[v], NumericType):
+            value = F.when(F.col("_after"), linear(own, F.col("_p")[v], _us(F.col("_n")[key]), F.col("_n")[v], F.col("_us"), kinds[v].simpleString()))
         else:
-            value = F.col("_p")[v]
-        made.append(F.when(F.col("_there"), F.col(v)).otherwise(value).alias(v))
-    return out.select(*by, key, *made)
+            value = before
+        made.append(F.when(F.col("_there"), F.col("_p")[v]).otherwise(value).alias(v))
+    return out.select(*by, _ts(F.col("_us")).alias(key), *made)
 
 
 def linear(x1: Column, y1: Column, x2: Column, y2: Column, x: Column, kind: str = "double") -> Column:
@@ -149,6 +157,7 @@ def sample(df: DataFrame, time: str, start, end, n: int, unit: str, columns: lis
     for c in columns:
         if not isinstance(kinds[c], NumericType):
             raise ValueError(f"{c} is not numeric")
+    df = _near(df.where(F.col(time).isNotNull()), time, F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"), by)
     step, begin = micros(n, unit), _us(F.lit(start).cast("timestamp"))
     cells = F.call_function("div", _us(F.lit(end).cast("timestamp")) - begin, F.lit(step))
     # one row per cell [point, next point): its first and its last row; rows before the first point are cell -1
@@ -182,6 +191,16 @@ def sample(df: DataFrame, time: str, start, end, n: int, unit: str, columns: lis
     return out.select(*by, _ts(F.col("_at")).alias(time), *made)
 
 
+def _near(df: DataFrame, time: str, start: Column, end: Column, by: list[str]) -> DataFrame:
+    """The rows of [start, end] and enough around them to hold each series' nearest row on either side.
+
+    The nearest times come from an aggregate that reads `time` and `by` only; as bounds they then reach the scan.
+    """
+    sides = df.groupBy(*by).agg(F.max(F.when(F.col(time) < start, _us(time))).alias("a"), F.min(F.when(F.col(time) > end, _us(time))).alias("b"))
+    low, high = sides.agg(F.min("a"), F.max("b")).first()
+    return df.where((F.col(time) >= (start if low is None else _ts(F.lit(low)))) & (F.col(time) <= (end if high is None else _ts(F.lit(high)))))
+
+
 def interpolate(df: DataFrame, time: str, column: str, at, by: list[str] | None = None) -> DataFrame:
     """TIME_INTERPOLATED: the row at `at`, `column` linear between neighbours, the others the previous row's."""
     return sample(df, time, at, at, 1, "MICROSECOND", [column], by)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +11,7 @@ from ..functions import aggregates as A
 from ..functions import gis as G
 from ..functions import scalar as S
 from ..operators import dml, pattern, relational, timeseries
-from ..session import load, ship
+from ..session import load, ship, work_dir
 from ..sources import catalog
 from ..streaming import windows
 from . import sql as dialect
@@ -277,9 +276,9 @@ def agg_stats(t):
     return t.events.groupBy("event_type").agg(r4(F.stddev_pop(v)).alias("sp"), r4(F.stddev_samp(v)).alias("ss"), r4(F.var_pop(v)).alias("vp"), r4(F.var_samp(v)).alias("vs"))
 
 
-@query("SELECT user_id, coalesce(round(var_samp(value), 6), 0) AS v0, coalesce(round(stddev_samp(value), 6), 0) AS s0 FROM events WHERE event_id < 300 GROUP BY user_id")
+@query("SELECT user_id, coalesce(round(var_samp(value), 6), 0) AS v0, coalesce(round(stddev_samp(value), 6), 0) AS s0 FROM events GROUP BY user_id")
 def agg_variance0(t):
-    return t.events.where("event_id < 300").groupBy("user_id").agg(F.round(A.variance0(col("value")), 6).alias("v0"), F.round(A.stddev0(col("value")), 6).alias("s0"))
+    return t.events.groupBy("user_id").agg(F.round(A.variance0(col("value")), 6).alias("v0"), F.round(A.stddev0(col("value")), 6).alias("s0"))
 
 
 @query("SELECT event_type, coalesce(round(sum(CASE WHEN value > 1e6 THEN value END), 2), 0) AS none, round(sum(value), 2) AS total FROM events GROUP BY event_type")
@@ -289,12 +288,15 @@ def agg_total(t):
 
 @query("SELECT event_type, round(median(value), 6) AS med, trunc(median(user_id))::BIGINT AS med_user FROM events GROUP BY event_type")
 def agg_median(t):
-    return t.events.groupBy("event_type").agg(F.round(A.median(col("value")), 6).alias("med"), A.median(col("user_id"), "bigint").alias("med_user"))
+    value = relational.percentiles(t.events, ["event_type"], "value", {"med": 0.5})
+    user = relational.percentiles(t.events, ["event_type"], "user_id", {"med_user": 0.5})
+    return value.join(user, "event_type").select("event_type", F.round("med", 6).alias("med"), col("med_user").cast("bigint").alias("med_user"))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.25), 6) AS p25 FROM events GROUP BY event_type")
 def agg_percentile(t):
-    return t.events.groupBy("event_type").agg(F.round(A.percentile_cont(col("value"), 0.9), 6).alias("p90"), F.round(A.percentile_cont(col("value"), 0.25), 6).alias("p25"))
+    got = relational.percentiles(t.events, ["event_type"], "value", {"p90": 0.9, "p25": 0.25})
+    return got.select("event_type", F.round("p90", 6).alias("p90"), F.round("p25", 6).alias("p25"))
 
 
 @query("SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name) AS names, string_agg(n_name, '' ORDER BY n_nationkey) AS plain FROM nation GROUP BY n_regionkey")
@@ -375,13 +377,13 @@ def time_interpolated(t):
 
 @query("""
 WITH g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-04', INTERVAL 30 MINUTE)) AS k),
-e AS (SELECT ts, event_type, value FROM events WHERE user_id % 7 = 3),
+e AS (SELECT ts, event_type, value FROM events),
 p AS (SELECT g.k, e.ts, e.event_type, e.value FROM g ASOF JOIN e ON g.k >= e.ts),
 n AS (SELECT g.k, e.ts, e.value FROM g ASOF JOIN e ON g.k <= e.ts)
 SELECT p.k AS ts, p.event_type, round(CASE WHEN n.ts = p.ts THEN p.value ELSE p.value + epoch(p.k - p.ts) * (n.value - p.value) / epoch(n.ts - p.ts) END, 6) AS value FROM p JOIN n ON p.k = n.k
 """)
 def time_sampling(t):
-    e = t.events.where("user_id % 7 = 3").select("ts", "event_type", "value")
+    e = t.events.select("ts", "event_type", "value")
     return timeseries.sample(e, "ts", "2024-01-02", "2024-01-04", 30, "MINUTE", ["value"]).withColumn("value", F.round("value", 6))
 
 
@@ -473,10 +475,10 @@ def limit_offset(t):
     return relational.limit(t.events.select("event_id").orderBy("event_id"), 10, 25)
 
 
-@query("SELECT event_id, nullif(event_type, 'view') AS kind FROM events ORDER BY kind ASC NULLS LAST, event_id LIMIT 5000")
+@query("SELECT event_id, nullif(event_type, 'view') AS kind FROM events ORDER BY kind ASC NULLS LAST, event_id")
 def order_nulls_largest(t):
     e = t.events.select("event_id", F.nullif(col("event_type"), lit("view")).alias("kind"))
-    return relational.order(e, "kind", "event_id").limit(5000)
+    return relational.order(e, "kind", "event_id")
 
 
 _A, _B = "SELECT user_id FROM events WHERE event_type = 'click' AND value > 50", "SELECT user_id FROM events WHERE event_type = 'error' AND value < 30"
@@ -579,7 +581,7 @@ def _moves(t):
 @query(_UP_DOWN + "SELECT user_id, k AS match_number, length(m)::BIGINT AS length FROM m")
 def pattern_match_updown(t):
     d = _moves(t)
-    return pattern.runs(t.events, ["user_id"], ["ts", "event_id"], [("U", d["UP"]), ("D", d["DOWN"])], "U+D+").select("user_id", "match_number", "length")
+    return pattern.islands(t.events, ["user_id"], ["ts", "event_id"], d, ["UP", "DOWN"]).select("user_id", "match_number", "length")
 
 
 @query(_UP_DOWN + "SELECT user_id, k AS match_number, length(m)::BIGINT AS n, length(regexp_extract(m, 'U+'))::BIGINT AS ups FROM m")
@@ -654,13 +656,11 @@ def last_row_per_series(t):
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS ts, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_rollup(t):
-    """Tumbling windows over the events as a stream, to its end; the rollup is kept in memory."""
+    """Tumbling windows over the events as a stream, to its end, into files."""
     schema = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
     stream = t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/event[s].parquet").withColumn("ts", col("ts").cast("timestamp"))
-    name = f"rollup_{uuid.uuid4().hex}"
     got = windows.tumbling(stream, "ts", "1 day", {"n": F.count("*")}, ["event_type"])
-    got.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.table(name).select("ts", "event_type", "n")
+    return windows.rollup_table(got, ["ts", "event_type"], work_dir(t.spark, "rollup")).select("ts", "event_type", "n")
 
 
 @query("SELECT table_name, column_name, ordinal_position AS ordinal FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'orders')")
@@ -686,11 +686,129 @@ def container_query(t):
     return container.tql(t.spark, "SELECT * WHERE (value > 99.5) XOR (user_id = 3) AND ts < TIMESTAMP('2024-01-20T00:00:00') ORDER BY value DESC, event_id LIMIT 15", t.events, "ts").select("event_id", "value")
 
 
-@query("SELECT round(coalesce(var_samp(value), 0), 4) AS variance FROM events WHERE user_id = 5")
+@query("SELECT round(coalesce(var_samp(value), 0), 4) AS variance FROM events")
 def container_aggregate(t):
-    return container.tql(t.spark, "SELECT VARIANCE(value) WHERE user_id = 5", t.events, "ts").select(r4(col("variance")).alias("variance"))
+    return container.tql(t.spark, "SELECT VARIANCE(value)", t.events, "ts").select(r4(col("variance")).alias("variance"))
 
 
 @query("SELECT time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2024-01-02') AS ts, min(value) AS value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-09' GROUP BY 1")
 def container_window_agg(t):
     return container.tql(t.spark, "SELECT TIME_WINDOW_AGG(value, 'MIN', TIMESTAMP('2024-01-02T00:00:00'), TIMESTAMP('2024-01-09T00:00:00'), 12, HOUR)", t.events, "ts")
+
+
+# --- the dialect's time-series and pattern clauses as text ------------------------------------
+
+_RANGE_FILL = """
+WITH b AS (SELECT time_bucket(INTERVAL {step}, ts, TIMESTAMP '1970-01-01') AS k, {aggs} FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06' GROUP BY 1),
+g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-06', INTERVAL {step})) AS k),
+j AS (SELECT g.k, b.* EXCLUDE (k), CASE WHEN b.k IS NOT NULL THEN b.k END AS bk FROM g LEFT JOIN b ON g.k = b.k)
+"""
+_AROUND = "WINDOW p AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+def _line(column: str, kind: str = "") -> str:
+    x1, y1, x2, y2 = (f"{fn}({c} IGNORE NULLS) OVER {w}" for fn, c, w in (("last_value", "bk", "p"), ("last_value", column, "p"), ("first_value", "bk", "f"), ("first_value", column, "f")))
+    return f"CASE WHEN bk IS NOT NULL THEN {column} ELSE {'trunc' if kind else ''}({y1} + epoch(k - {x1}) * ({y2} - {y1}) / epoch({x2} - {x1})){kind} END"
+
+
+@query("SELECT time_bucket(INTERVAL 20 MINUTE, ts, TIMESTAMP '1970-01-01') AS ts, round(avg(value), 6) AS avg_value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06' GROUP BY 1")
+def dialect_range_between(t):
+    t.events.createOrReplaceTempView("events")
+    return dialect.sql(t.spark, "SELECT ts, round(avg(value), 6) AS avg_value FROM events WHERE ts BETWEEN TIMESTAMP('2024-01-05T00:00:00Z') AND TIMESTAMP('2024-01-06T00:00:00Z') GROUP BY RANGE (ts) EVERY (20, MINUTE)")
+
+
+@query(_RANGE_FILL.format(step="2 MINUTE", aggs="avg(value) AS v") + "SELECT k AS ts, round(v, 6) AS v FROM j")
+def dialect_fill_null(t):
+    """Gaps before the first and after the last row are filled too, up to the bounds of BETWEEN."""
+    t.events.createOrReplaceTempView("events")
+    return dialect.sql(t.spark, "SELECT ts, round(avg(value), 6) AS v FROM events WHERE ts BETWEEN TIMESTAMP('2024-01-05T00:00:00Z') AND TIMESTAMP('2024-01-06T00:00:00Z') GROUP BY RANGE(ts) EVERY(2, MINUTE) FILL(NULL)")
+
+
+@query(_RANGE_FILL.format(step="2 MINUTE", aggs="arg_min(event_id, ts) AS event_id, arg_min(user_id, ts) AS user_id, arg_min(event_type, ts) AS event_type, arg_min(value, ts) AS value, arg_min(props, ts) AS props") + f"SELECT k AS ts, {_line('event_id', '::BIGINT')} AS event_id, {_line('user_id', '::BIGINT')} AS user_id, last_value(event_type IGNORE NULLS) OVER p AS event_type, round({_line('value')}, 6) AS value, last_value(props IGNORE NULLS) OVER p AS props FROM j {_AROUND}")
+def dialect_resample(t):
+    """SELECT * with FILL(LINEAR)."""
+    t.events.createOrReplaceTempView("events")
+    got = dialect.sql(t.spark, "SELECT * FROM events WHERE ts BETWEEN TIMESTAMP('2024-01-05T00:00:00Z') AND TIMESTAMP('2024-01-06T00:00:00Z') GROUP BY RANGE (ts) EVERY (2, MINUTE) FILL (LINEAR)")
+    return got.withColumn("value", F.round("value", 6))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts + INTERVAL 9 HOUR, TIMESTAMP '1970-01-01') - INTERVAL 9 HOUR AS day, count(*) AS n FROM events GROUP BY 1")
+def dialect_range_zone(t):
+    """Days of a zone's local time."""
+    t.events.createOrReplaceTempView("events")
+    return dialect.sql(t.spark, "SELECT ts AS day, count(*) AS n FROM events GROUP BY RANGE(ts) EVERY(1, DAY, 'Asia/Tokyo')")
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts - INTERVAL 90 MINUTE, TIMESTAMP '1970-01-01') AS slot, sum(value) > 100 AS much FROM events WHERE ts > TIMESTAMP '2024-01-10' GROUP BY 1")
+def dialect_range_expression(t):
+    """An expression as the key."""
+    t.events.createOrReplaceTempView("events")
+    return dialect.sql(t.spark, "SELECT TIMESTAMP_ADD(MINUTE, ts, -90) AS slot, sum(value) > 100 AS much FROM events WHERE ts > TIMESTAMP('2024-01-10T00:00:00Z') GROUP BY RANGE(TIMESTAMP_ADD(MINUTE, ts, -90)) EVERY(6, HOUR)")
+
+
+_ISLANDS = """
+WITH c AS (SELECT user_id, ts, event_id, value, CASE WHEN value > lag(value) OVER w THEN 'U' WHEN value < lag(value) OVER w THEN 'D' ELSE '.' END AS ch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS isl FROM (SELECT *, CASE WHEN lag(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id) = ch THEN 0 ELSE 1 END AS nw FROM c)),
+g AS (SELECT user_id, isl, any_value(ch) AS ch, min(ts) AS f, max(ts) AS l, count(*) AS n, max(value) AS hi, min(value) AS lo FROM i GROUP BY ALL),
+m AS (SELECT user_id, isl, f AS start_time, lead(l) OVER w AS end_time, n AS ups, hi AS peak, lead(lo) OVER w AS low, ch, lead(ch) OVER w AS nx FROM g WINDOW w AS (PARTITION BY user_id ORDER BY isl)),
+x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY isl) AS match_no FROM m WHERE ch = 'U' AND nx = 'D')
+"""
+_MATCH = "FROM events MATCH_RECOGNIZE (PARTITION BY user_id ORDER BY ts, event_id MEASURES FIRST(ts) AS start_time, LAST(ts) AS end_time, MATCH_NUMBER() AS match_no, COUNT(UP.*) AS ups, LAST(UP.value) AS peak, MIN(DOWN.value) AS low {rows} AFTER MATCH SKIP PAST LAST ROW PATTERN (UP+ DOWN+) DEFINE UP AS value > PREV(value), DOWN AS DOWN.value < PREV(value, 1))"
+
+
+@query(_ISLANDS + "SELECT user_id, start_time, end_time, match_no, ups, peak, low FROM x")
+def dialect_match_recognize(t):
+    t.events.createOrReplaceTempView("events")
+    return dialect.sql(t.spark, f"SELECT * {_MATCH.format(rows='ONE ROW PER MATCH')}")
+
+
+@query(_ISLANDS + "SELECT c.user_id, c.event_id, x.match_no, x.start_time, c.ch = 'U' AS up FROM x JOIN c ON c.user_id = x.user_id AND c.ts BETWEEN x.start_time AND x.end_time")
+def dialect_match_all_rows(t):
+    t.events.createOrReplaceTempView("events")
+    return dialect.sql(t.spark, "SELECT user_id, event_id, match_no, start_time, kind = 'UP' AS up FROM (SELECT * FROM events) MATCH_RECOGNIZE (PARTITION BY user_id ORDER BY ts, event_id MEASURES FIRST(ts) AS start_time, MATCH_NUMBER() AS match_no, CLASSIFIER() AS kind ALL ROWS PER MATCH PATTERN (UP+ DOWN+) DEFINE UP AS value > PREV(value), DOWN AS value < PREV(value)) AS m")
+
+
+@query("""SELECT event_id, ts + INTERVAL 1 MONTH AS m1, date_sub('day', date_trunc('day', TIMESTAMP '2024-01-01 09:00:00'), ts + INTERVAL 9 HOUR) AS dd, TIMESTAMP '2024-01-02 03:04:05' AS t0, TIMESTAMP '2024-01-01 18:04:05' AS t1, TIMESTAMP '2024-01-02 03:04:05' AS t2,
+  TIMESTAMP '2024-01-02 03:04:05.123' AS t3, TIMESTAMP '2024-01-02 03:04:05.123456' AS t4, TIMESTAMP '2023-12-31 15:00:00' AS mk FROM events WHERE ts < TIMESTAMP '2024-01-25'""")
+def dialect_timestamps(t):
+    """TIMESTAMP(text[, zone]) with its finer forms, and zones in the other functions."""
+    t.events.createOrReplaceTempView("events")
+    return dialect.sql(t.spark, """SELECT event_id, TIMESTAMP_ADD(MONTH, ts, 1) AS m1, TIMESTAMP_DIFF(DAY, ts, TIMESTAMP('2023-12-31T15:00:00Z'), 'Asia/Tokyo') AS dd, TIMESTAMP('2024-01-02T03:04:05Z') AS t0, TIMESTAMP('2024-01-02 03:04:05', 'Asia/Tokyo') AS t1, TIMESTAMP('2024-01-02T03:04:05Z', 'Asia/Tokyo') AS t2,
+      TIMESTAMP('2024-01-02T03:04:05.123456Z') AS t3, TIMESTAMP_US('2024-01-02T03:04:05.123456Z') AS t4, MAKE_TIMESTAMP(2024, 1, 1, 'Asia/Tokyo') AS mk FROM events WHERE ts < TIMESTAMP_MS('2024-01-25T00:00:00.000Z')""")
+
+
+@query("SELECT TRUE AS has_plan, TRUE AS has_rows")
+def dialect_explain(t):
+    t.events.createOrReplaceTempView("events")
+    got = dialect.sql(t.spark, "EXPLAIN ANALYZE SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+    return got.agg(F.max(col("plan").contains("HashAggregate")).alias("has_plan"), F.max(col("plan").startswith("rows: 5,")).alias("has_rows"))
+
+
+@query("SELECT TRUE AS random_ok, TRUE AS now_ok, 7 AS zeros, 9 AS noise")
+def random_and_now(t):
+    """Their values differ from run to run; their shapes don't."""
+    one = t.spark.range(100).select(S.random_long().alias("r"), S.now().alias("n"), S.zeroblob(7).alias("z"), S.randomblob(9).alias("b"))
+    return one.agg((F.count_distinct("r") > 90).alias("random_ok"), (F.min("n") > "2024-01-01").alias("now_ok"), F.max(F.octet_length("z")).alias("zeros"), F.max(F.octet_length("b")).alias("noise"))
+
+
+@query("""SELECT event_type, count(DISTINCT user_id) AS c, min(DISTINCT user_id) AS lo, max(DISTINCT user_id) AS hi, sum(DISTINCT user_id)::DOUBLE AS total, string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS ids, round(stddev_samp(DISTINCT user_id), 4) AS ss, round(stddev_pop(DISTINCT user_id), 4) AS sp,
+  round(var_pop(DISTINCT user_id), 4) AS vp, round(var_samp(DISTINCT user_id), 4) AS vs, round(coalesce(var_samp(DISTINCT user_id), 0), 4) AS v0, round(coalesce(stddev_samp(DISTINCT user_id), 0), 4) AS s0, trunc(median(DISTINCT user_id))::BIGINT AS med FROM events GROUP BY event_type""")
+def agg_distinct_forms(t):
+    """Every aggregate over distinct values: these are formed once, then aggregated."""
+    u = col("user_id")
+    ids = t.events.select("event_type", "user_id").distinct()
+    got = ids.groupBy("event_type").agg(F.count(u).alias("c"), F.min(u).alias("lo"), F.max(u).alias("hi"), A.total(u).alias("total"), A.group_concat(u.cast("string"), ",").alias("ids"), r4(F.stddev_samp(u)).alias("ss"), r4(F.stddev_pop(u)).alias("sp"), r4(F.var_pop(u)).alias("vp"), r4(F.var_samp(u)).alias("vs"), r4(A.variance0(u)).alias("v0"), r4(A.stddev0(u)).alias("s0"))
+    return got.join(relational.percentiles(ids, ["event_type"], "user_id", {"med": 0.5}).withColumn("med", col("med").cast("bigint")), "event_type")
+
+
+@query("SELECT * FROM (SELECT unnest(['SUM', 'AVG', 'MAX', 'MIN', 'COUNT', 'VARIANCE_POP', 'VARIANCE_SAMP', 'STDDEV_POP', 'STDDEV_SAMP', 'STDDEV']) AS what, unnest([sum(value), avg(value), max(value), min(value), count(*), var_pop(value), var_samp(value), stddev_pop(value), stddev_samp(value), stddev_samp(value)]) AS v FROM events)".replace("SELECT * FROM", "SELECT what, round(v, 4) AS v FROM"))
+def container_aggregates(t):
+    """Each aggregate of the container language over the whole container."""
+    parts = []
+    for name in ("SUM", "AVG", "MAX", "MIN", "COUNT", "VARIANCE_POP", "VARIANCE_SAMP", "STDDEV_POP", "STDDEV_SAMP", "STDDEV"):
+        got = container.tql(t.spark, f"SELECT {name}({'*' if name == 'COUNT' else 'value'})", t.events, "ts")
+        parts.append(got.select(lit(name).alias("what"), r4(col(name.lower()).cast("double")).alias("v")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out

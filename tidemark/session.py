@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,6 +38,19 @@ def ship(spark: SparkSession) -> None:
     _shipped[app] = out
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new path for intermediate files in the shared folder that `spark.checkpoint.dir` names; only a session on this
+    machine alone may name none and gets a temporary folder. ValueError on a cluster without one."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="tidemark-work-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
+    return f"{d.rstrip('/')}/tidemark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+
+
 TIMES = {"events": ["ts"], "orders": ["o_orderdate"], "lineitem": ["l_shipdate"]}
 
 

@@ -33,3 +33,19 @@ def upsert_sink(stream: DataFrame, apply: Callable[[DataFrame, int], None], chec
     """Run `apply(batch, number)` for each batch; `number` repeats after a failure, so that it can be applied once."""
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("update")
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def rollup_table(rollup: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """Run an aggregated stream to its end into files under `path`; the latest row of each of `keys`.
+
+    Each batch writes the groups that it changed to a folder of its own number, so a repeated batch replaces itself.
+    """
+    spark = rollup.sparkSession
+
+    def apply(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    upsert_sink(rollup, apply, f"{path}/state").awaitTermination()
+    rows = spark.read.schema(rollup.schema.add("batch", "long")).parquet(f"{path}/rows")
+    rest = [c for c in rollup.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
