@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import dml, pattern, relational
 from tidemark.plans import sql as dialect
+from tidemark.plans.database import Database
 from tidemark.sources import catalog
 from tidemark.streaming import windows
 
@@ -203,3 +204,70 @@ def test_streams(spark, tmp_path):
     q = windows.upsert_sink(windows.sliding(stream, "t", "20 minutes", "10 minutes", {"n": F.count("*")}), lambda b, i: seen.append(b.count()), str(tmp_path / "sink"))
     q.awaitTermination(60)
     assert sum(seen) > 0
+
+
+# --- statements as text -------------------------------------------------------------------------
+
+
+def test_statements(spark):
+    db = Database(spark)
+    db.run("CREATE TABLE t (k INTEGER PRIMARY KEY, v STRING, n LONG)")
+    db.run("CREATE TABLE IF NOT EXISTS t (k INTEGER)")
+    db.run("INSERT INTO t VALUES (1, 'a', 10), (2, 'it''s, (b)', 20)")
+    db.run("INSERT INTO t (k, v) VALUES (3, 'c')")
+    db.run("REPLACE INTO t VALUES (2, 'B', 21)")
+    db.run("INSERT OR IGNORE INTO t VALUES (1, 'z', 0), (4, 'd', 40)")
+    assert rows(db.run("SELECT * FROM t")) == [(1, "a", 10), (2, "B", 21), (3, "c", None), (4, "d", 40)]
+    db.run("UPDATE t SET n = n + 1, v = concat(v, ',x') WHERE n > :low", low=15)
+    db.run("DELETE FROM t WHERE n IS NULL")
+    assert rows(db.run("SELECT * FROM t;")) == [(1, "a", 10), (2, "B,x", 22), (4, "d,x", 41)]
+    for bad in ("CREATE TABLE t (k INTEGER)", "UPDATE t SET k = 1", "UPDATE t SET nothing = 1", "INSERT INTO t VALUES (1)", "DELETE FROM nothing", "DROP TABLE nothing", "ALTER TABLE t DROP PARTITION FOR (1)", "CREATE TABLE u (k NOTYPE)", "ALTER TABLE t ADD v STRING"):
+        with pytest.raises(ValueError):
+            db.run(bad)
+    db.run("DROP TABLE IF EXISTS nothing")
+    db.run("DROP TABLE t")
+    assert db.meta("container").count() == 0 and db.meta("column").count() == 0
+    with pytest.raises(ValueError):
+        db.meta("nothing")
+
+
+def test_multi_put(spark):
+    a, b = (spark.createDataFrame([(1, n), (2, n)], "k int, v string") for n in "ab")
+    got = dml.multi_put({"a": a, "b": b}, {"a": spark.createDataFrame([(2, "x"), (3, "y")], "k int, v string")}, {"a": ["k"]})
+    assert rows(got["a"]) == [(1, "a"), (2, "x"), (3, "y")] and rows(got["b"]) == [(1, "b"), (2, "b")]
+    with pytest.raises(ValueError):
+        dml.multi_put({"a": a}, {"c": a}, {"c": ["k"]})
+
+
+@pytest.mark.parametrize(
+    "where, n",
+    [
+        ("k BETWEEN TIMESTAMP('2023-01-01T00:00:00Z') AND TIMESTAMP('2023-01-01T00:01:00Z')", 7),
+        ("k >= TIMESTAMP '2023-01-01 00:00:00' AND k < TIMESTAMP '2023-01-01 00:01:00'", 6),
+        ("(v > 0 AND (TIMESTAMP '2023-01-01 00:00:00' < k)) AND k <= TIMESTAMP '2023-01-01 00:00:55'", 6),
+        ("v BETWEEN 0 AND 9 AND k >= TIMESTAMP '2023-01-01 00:00:10'", 4),
+        ("v > 0", 3),
+    ],
+)
+def test_fill_takes_its_bounds_from_the_condition(spark, where, n):
+    spark.sql("SELECT TIMESTAMP '2023-01-01 00:00:20' AS k, 1.0D AS v UNION ALL SELECT TIMESTAMP '2023-01-01 00:00:40', 3.0D").createOrReplaceTempView("table1")
+    got = dialect.sql(spark, f"SELECT k, avg(v) AS v FROM table1 WHERE {where} GROUP BY RANGE (k) EVERY (10, SECOND) FILL (NULL)")
+    assert got.count() == n and got.where("v is not null").count() == 2
+    every = dialect.sql(spark, f"SELECT * FROM table1 WHERE {where} GROUP BY RANGE (k) EVERY (10, SECOND) FILL (LINEAR)").orderBy("k").collect()
+    assert [r["v"] for r in every if r["k"].second in (20, 30, 40)] == [1.0, 2.0, 3.0] and len(every) == n
+
+
+def test_days_of_a_zone_with_summer_time(spark):
+    spark.sql("SELECT explode(sequence(TIMESTAMP '2024-03-29 00:00:00', TIMESTAMP '2024-04-02 00:00:00', INTERVAL 1 HOUR)) AS k").createOrReplaceTempView("hours")
+    got = dialect.sql(spark, "SELECT k, count(*) AS n FROM hours GROUP BY RANGE (k) EVERY (1, DAY, 'Europe/Berlin') ORDER BY k").collect()
+    assert [r["n"] for r in got] == [23, 24, 23, 24, 3]
+
+
+def test_patterns_as_text_are_checked(spark):
+    days(spark, [1, 2, 3]).createOrReplaceTempView("points")
+    body = "ORDER BY ts {skip} PATTERN (UP+) DEFINE UP AS {cond}"
+    q = lambda **k: f"SELECT * FROM points MATCH_RECOGNIZE ({body.format(**({'skip': '', 'cond': 'v > PREV(v)'} | k))})"
+    assert dialect.sql(spark, q()).count() == 1
+    for bad in (q(skip="AFTER MATCH SKIP TO UP"), "SELECT * FROM points MATCH_RECOGNIZE (PATTERN (A) DEFINE A AS true)"):
+        with pytest.raises(ValueError):
+            dialect.sql(spark, bad)

@@ -16,6 +16,7 @@ from ..sources import catalog
 from ..streaming import windows
 from . import sql as dialect
 from . import tql as container
+from .database import Database
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -812,3 +813,50 @@ def container_aggregates(t):
     for p in parts[1:]:
         out = out.union(p)
     return out
+
+
+@query("""WITH u AS (SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment FROM customer),
+d AS (SELECT * FROM u WHERE c_mktsegment <> 'BUILDING'),
+n AS (SELECT c_custkey + 1490 AS c_custkey, 'new' AS c_name, c_nationkey, 1.5 AS c_acctbal, c_mktsegment FROM customer WHERE c_nationkey = 3),
+r AS (SELECT * FROM n UNION ALL SELECT * FROM d WHERE c_custkey NOT IN (SELECT c_custkey FROM n)),
+i AS (SELECT c_custkey + 10 AS c_custkey, 'kept' AS c_name, NULL::INT AS c_nationkey, NULL::DOUBLE AS c_acctbal, NULL::VARCHAR AS c_mktsegment FROM customer)
+SELECT * FROM r UNION ALL SELECT * FROM i WHERE c_custkey NOT IN (SELECT c_custkey FROM r)""")
+def dml_text(t):
+    """UPDATE, DELETE, INSERT OR REPLACE and OR IGNORE as text, one after the other."""
+    t.customer.createOrReplaceTempView("customers_before")
+    db = Database(t.spark)
+    db.add("customers", t.customer, ["c_custkey"])
+    db.run("UPDATE customers SET c_acctbal = 0.0, c_mktsegment = 'DEBT' WHERE c_acctbal < 0")
+    db.run("DELETE FROM customers WHERE c_mktsegment = 'BUILDING'")
+    db.run("INSERT OR REPLACE INTO customers SELECT c_custkey + 1490, 'new', c_nationkey, 1.5, c_mktsegment FROM customers_before WHERE c_nationkey = 3")
+    db.run("INSERT OR IGNORE INTO customers (c_custkey, c_name) SELECT c_custkey + 10, 'kept' FROM customers_before")
+    return db.run("SELECT * FROM customers")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS day, user_id, round(sum(value), 2) AS total, 'none' AS note FROM events WHERE NOT (ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11') GROUP BY 1, 2")
+def ddl_text(t):
+    """CREATE TABLE with a key and interval partitions, INSERT ... SELECT, ALTER TABLE, CREATE VIEW."""
+    t.events.createOrReplaceTempView("events")
+    db = Database(t.spark)
+    db.run("CREATE TABLE daily (d TIMESTAMP, user_id LONG, total DOUBLE, PRIMARY KEY (d, user_id)) PARTITION BY RANGE (d) EVERY (1, DAY)")
+    db.run("INSERT INTO daily SELECT date_trunc('DAY', ts), user_id, round(sum(value), 2) FROM events GROUP BY 1, 2")
+    db.run("ALTER TABLE daily DROP PARTITION FOR (TIMESTAMP('2024-01-10T07:00:00Z'))")
+    db.run("ALTER TABLE daily RENAME COLUMN d TO day")
+    db.run("ALTER TABLE daily ADD COLUMN note STRING DEFAULT 'none'")
+    db.run("CREATE OR REPLACE VIEW daily_view AS SELECT day, user_id, total, note FROM daily")
+    return db.run("SELECT * FROM daily_view")
+
+
+@query("SELECT unnest(['container', 'column', 'key', 'index', 'view', 'partition', 'database', 'socket']) AS kind, unnest([2, 9, 3, 1, 1, 2, 1, 0])::BIGINT AS n")
+def meta_kinds(t):
+    """The meta tables of two tables, a view and an index."""
+    db = Database(t.spark)
+    db.add("supplier_table", t.supplier, ["s_suppkey"])
+    db.run("CREATE TABLE readings (at TIMESTAMP(3), device STRING, v DOUBLE[], raw BLOB, ok BOOL NOT NULL, PRIMARY KEY (at, device)) USING TIMESERIES PARTITION BY RANGE at EVERY (30, DAY) SUBPARTITION BY HASH device SUBPARTITIONS 8")
+    db.run("CREATE INDEX by_name ON supplier_table (s_name)")
+    db.run("CREATE VIEW ok_readings AS SELECT at, device FROM readings WHERE ok")
+    parts = [db.meta(k).agg(F.lit(k).alias("kind"), F.count("*").alias("n")) for k in ("container", "column", "key", "index", "view", "partition", "database", "socket")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
