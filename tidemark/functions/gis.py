@@ -5,6 +5,8 @@ A box is a struct of xmin, ymin, zmin, xmax, ymax, zmax (z null in the plane).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,6 +75,24 @@ def cone(x, y, z, slope) -> list[float]:
     return [1, 1, -k, 0, 0, 0, -2 * x, -2 * y, 2 * k * z, x * x + y * y - k * z * z]
 
 
+def surface(text: str) -> list[float]:
+    """QUADRATICSURFACE(a1 ... a9 b1 b2 b3 c): the rows of a 3 x 3 matrix, a vector and a constant of
+    x'Ax + b'x + c, as the coefficients of `quadratic`."""
+    m = re.fullmatch(r"\s*QUADRATICSURFACE\s*\(([^()]*)\)\s*(?:;\s*-?\d+\s*)?", text, re.I)
+    v = [float(x) for x in m[1].replace(",", " ").split()] if m else []
+    if len(v) != 13:
+        raise ValueError(f"a quadratic surface has 13 numbers: {text}")
+    return qsf(*v)
+
+
+def qsf(*v: float) -> list[float]:
+    """ST_MAKEQSF of a matrix by rows, a vector and a constant."""
+    if len(v) != 13:
+        raise ValueError("ST_MAKEQSF takes 13 numbers")
+    a, b = v[:9], v[9:12]
+    return [a[0], a[4], a[8], a[1] + a[3], a[5] + a[7], a[2] + a[6], *b, v[12]]
+
+
 def quadratic(q: list[float], x: Column, y: Column, z: Column) -> Column:
     """q0 x2 + q1 y2 + q2 z2 + q3 xy + q4 yz + q5 zx + q6 x + q7 y + q8 z + q9."""
     terms = (x * x, y * y, z * z, x * y, y * z, z * x, x, y, z, F.lit(1.0))

@@ -860,3 +860,27 @@ def meta_kinds(t):
     for p in parts[1:]:
         out = out.union(p)
     return out
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size <= 20 AND p_size + p_partkey % 5 >= 10 AND p_partkey % 3 >= 1 AND p_partkey > 10")
+def container_geometry(t):
+    """Bounding boxes in the container language."""
+    shape = F.format_string("LINESTRING(%d 0, %d %d);4326", col("p_size"), (col("p_size") + col("p_partkey") % 5).cast("int"), (col("p_partkey") % 3).cast("int"))
+    parts = t.part.select("p_partkey", "p_size", shape.alias("shape"))
+    return container.tql(t.spark, "SELECT * WHERE p_partkey > 10 AND ST_MBRINTERSECTS(shape, ST_MAKERECT(20, 1, 10, 5))", parts).select("p_partkey", "p_size")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size <= 1 OR (p_size <= 25 AND p_size + 3 >= 25)")
+def container_quadratic_surface(t):
+    """Boxes that the surface x = 25 or the cylinder of radius 0.5 around (0.5, 0) cuts: the form changes its sign there."""
+    shape = F.format_string("LINESTRING(%d 0 0, %d 0 1)", col("p_size"), (col("p_size") + 3).cast("int"))
+    parts = t.part.select("p_partkey", shape.alias("shape"))
+    plane = container.tql(t.spark, "SELECT * WHERE ST_QSFMBRINTERSECTS(ST_GEOMFROMTEXT('QUADRATICSURFACE(0 0 0 0 0 0 0 0 0 1 0 0 -25)'), shape)", parts)
+    tube = container.tql(t.spark, "SELECT * WHERE ST_QSFMBRINTERSECTS(ST_MAKECYLINDER(0.5, 0, 0.5), shape)", parts)
+    return plane.union(tube).select("p_partkey").distinct()
+
+
+@query("SELECT p_partkey FROM part WHERE p_name LIKE '%e%' AND (p_type || '_x%') LIKE '%!_x!%' ESCAPE '!' AND p_name NOT LIKE 'a%'")
+def dialect_like_escape(t):
+    t.part.createOrReplaceTempView("part")
+    return dialect.sql(t.spark, "SELECT /*+ NoCostBasedJoinDriving() */ p_partkey FROM part WHERE p_name LIKE '%e%' AND (p_type || '_x%') LIKE '%!_x!%' ESCAPE '!' AND p_name NOT LIKE 'a%'")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
+from ..functions import gis as G
 from ..operators import relational, timeseries
 
 CLAUSES = re.compile(r"^\s*select\s+(?P<what>.+?)(?:\s+from\s+(?P<from>[\w.]+))?(?:\s+where\s+(?P<where>.+?))?(?:\s+order\s+by\s+(?P<order>.+?))?(?:\s+limit\s+(?P<limit>\d+)(?:\s+offset\s+(?P<offset>\d+))?)?\s*;?\s*$", re.I | re.S)
@@ -55,14 +56,47 @@ def _time(text: str):
     return F.lit(m[1]).cast("timestamp")
 
 
+NUMBERS = ("ST_MAKERECT", "ST_MAKEBOX", "ST_MAKEPLANE", "ST_MAKESPHERE", "ST_MAKECYLINDER", "ST_MAKECONE", "ST_MAKEQSF")
+
+
+def _geometry(text: str):
+    """A geometry argument: a box as a column, or the coefficients of a quadratic surface as a list."""
+    text = text.strip()
+    call = CALL.match(text)
+    if not call:
+        return G.box(F.expr(text)) if not re.match(r"'\s*quadraticsurface", text, re.I) else G.surface(text.strip("'"))
+    name, args = call[1].upper(), split_args(call[2])
+    if name == "ST_GEOMFROMTEXT":
+        return _geometry(args[0])
+    if name not in NUMBERS:
+        raise ValueError(f"geometry {text}")
+    v = [float(x) for x in args]
+    if name in ("ST_MAKERECT", "ST_MAKEBOX"):
+        return (G.make_rect if name == "ST_MAKERECT" else G.make_box)(*[F.lit(x) for x in v])
+    return {"ST_MAKEPLANE": G.plane, "ST_MAKESPHERE": G.sphere, "ST_MAKECYLINDER": G.cylinder, "ST_MAKECONE": G.cone, "ST_MAKEQSF": G.qsf}[name](*v)
+
+
+def _spatial(text: str):
+    """ST_MBRINTERSECTS and ST_QSFMBRINTERSECTS as conditions."""
+    m = re.fullmatch(r"\s*(st_mbrintersects|st_qsfmbrintersects)\s*\((.*)\)\s*", text, re.I | re.S)
+    if not m:
+        return None
+    a, b = (_geometry(x) for x in split_args(m[2]))
+    if m[1].lower() == "st_mbrintersects":
+        return G.intersects(a, b)
+    return G.quadratic_intersects(a, b) if isinstance(a, list) else G.quadratic_intersects(b, a)
+
+
 def tql(spark: SparkSession, text: str, container: DataFrame | None = None, time: str | None = None) -> DataFrame:
     """Run one query; `container` stands in for FROM, `time` names the row key of a time series."""
     m = CLAUSES.match(text)
     if not m:
         raise ValueError(f"not a query: {text!r}")
     df = container if container is not None else spark.table(m["from"])
-    if m["where"]:
-        df = df.where(rewrite(m["where"]))
+    # conditions on geometries stand among others that must hold
+    for part in re.split(r"\s+and\s+(?=st_)|(?<=\))\s+and\s+", m["where"] or "", flags=re.I) if re.search(r"\bst_\w*intersects\s*\(", m["where"] or "", re.I) else [m["where"]] if m["where"] else []:
+        spatial = _spatial(part)
+        df = df.where(rewrite(part) if spatial is None else spatial)
     what = m["what"].strip()
     call = CALL.match(what)
     if what != "*":
