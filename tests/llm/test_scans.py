@@ -281,7 +281,36 @@ def test_sketches_merge(spark):
     parts = [r["sketch"] for r in df.where("k = 1").collect()]
     assert got[1] == sorted(set(parts[0]) | set(parts[1]))[:64] and len(got[2]) == 1
     row = df.where("k = 1").agg(F.sort_array(F.collect_list("sketch")).alias("s")).select(fingerprints.distinct_count(F.col("s")[0], 64).alias("n"), fingerprints.containment(F.col("s")[0], F.col("s")[0], 64).alias("c"), F.size(fingerprints.merge(F.col("s")[0], F.col("s")[1], 64)).alias("m")).first()
-    assert 200 < row["n"] < 900 and row["c"] == 1.0 and row["m"] == 64
+    assert abs(row["n"] - 396) < 3 * 396 / 62**0.5 and row["c"] == 1.0 and row["m"] == 64
+
+
+def test_fingerprints_by_brute_force(spark):
+    """The fingerprint is the k least of all distinct shingle hashes, each computed alone; it merges as its sets do."""
+    rows = corpus()
+    texts = sorted({t or "" for _, t in rows})
+    every = sorted({x for t in texts for x in shingles(t)})
+    hashes = {tuple(r["s"]): r["h"] for r in spark.createDataFrame([(list(x),) for x in every], "s array<string>").select("s", F.xxhash64("s").alias("h")).collect()}
+    least = {t: sorted({hashes[x] for x in shingles(t)})[: fingerprints.K] for t in texts}
+    got = fingerprints.edited_fingerprints(frame(spark, rows)).select("doc_id", "n_chars", "fingerprint").collect()
+    want = Counter((i, len(t or ""), ",".join(f"{h & (2**64 - 1):x}" for h in least[t or ""])) for i, t in rows)
+    assert Counter(tuple(r) for r in got) == want
+
+
+def test_containment_and_counts_of_parts(spark):
+    """Estimates of sketches of k hashes lie within three standard errors of the sets' true values."""
+    k, a, b = 256, [f"w{i}" for i in range(3000)], [f"w{i}" for i in range(2000, 2900)]
+    df = spark.createDataFrame([(" ".join(a), " ".join(b))], "a string, b string").select(fingerprints.sketch(F.col("a"), k).alias("a"), fingerprints.sketch(F.col("b"), k).alias("b"))
+    merged = fingerprints.merge(F.col("a"), F.col("b"), k)
+    r = df.select(
+        fingerprints.containment(F.col("b"), F.col("a"), k).alias("inside"),
+        fingerprints.containment(F.col("a"), F.col("b"), k).alias("part"),
+        fingerprints.resemblance(F.col("a"), F.col("b"), k).alias("like"),
+        fingerprints.distinct_count(F.col("a"), k).alias("n"),
+        fingerprints.distinct_count(merged, k).alias("all"),
+    ).first()
+    sure = 3 / (k - 2) ** 0.5
+    assert r["inside"] == 1.0 and abs(r["part"] - 896 / 2996) < 3 * (0.3 * 0.7 / k) ** 0.5 and abs(r["like"] - 896 / 2996) < 3 * (0.3 * 0.7 / k) ** 0.5
+    assert abs(r["n"] / 2996 - 1) < sure and abs(r["all"] / 2996 - 1) < sure
 
 
 def test_native_operators_run_no_python(spark, sf):
