@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from texts import prose
 
 import corpus_pipeline as C
@@ -57,3 +58,18 @@ def test_stages(spark, tmp_path, documents):
     assert sizes == Counter({i: len(lib.encode(r["text"], add_special_tokens=False).ids) + 1 for i, r in last.items()})
     key = lambda d: sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in d.collect())
     assert key(C.run(spark, str(tmp_path))) == key(seen["best_fit_packing"])
+
+
+def test_stages_take_empty_and_awkward_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, None, None, None, None), (1, "", None, None, 0), (1, "", None, None, 0), (2, "a b c", None, "s", 5)]
+    for k, data in enumerate(([], rows)):
+        base = spark.createDataFrame(data, schema)
+        for c in ("node", "found", "cuts", "row"):
+            base = base.withColumn(c, F.lit("x"))
+        base.write.parquet(str(tmp_path / f"{k}"))
+        for name, stage in C.STAGES:
+            out = stage(spark, spark.read.parquet(str(tmp_path / f"{k}")), str(tmp_path))
+            assert out.columns == COLUMNS or name == "best_fit_packing"
+            n = out.count()
+            assert n == 0 if not data or name == "language_id" else n in (2, 4), name
