@@ -92,8 +92,10 @@ def test_islands(spark):
     assert [(r["match_number"], r["length"], r["first_ts"].day, r["last_ts"].day) for r in got.orderBy("match_number").collect()] == [(1, 4, 2, 5), (2, 2, 6, 7)]
 
 
-def test_percentiles(spark, monkeypatch):
+@pytest.mark.parametrize("buffered", [0, 10**6])
+def test_percentiles(spark, monkeypatch, buffered):
     rng = random.Random(3)
+    monkeypatch.setattr(relational, "BUFFERED", buffered)
     monkeypatch.setattr(relational, "CELLS", 7)
     data = [(g, v) for g in ("a", "b", None) for v in [rng.choice([1.0, 2.0, 2.5, rng.uniform(-9, 9)]) for _ in range(200 if g else 3)]] + [("one", 4.0), ("same", 1.0), ("same", 1.0), ("none", None), ("a", None)]
     df = spark.createDataFrame(data, "g string, v double").repartition(3)
@@ -107,6 +109,7 @@ def test_percentiles(spark, monkeypatch):
             assert abs(value - (low + (high - low) * (at - int(at)))) < 1e-9, (g, name)
     assert "none" not in got
     assert relational.percentiles(df, [], "v", {"m": 0.5}).count() == 1
+    assert relational.largest_group(df, ["g"]) == 201 and relational.largest_group(df.where("false"), ["g"]) == 0
     with pytest.raises(ValueError):
         relational.percentiles(df, [], "v", {"m": 1.5})
 

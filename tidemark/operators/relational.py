@@ -66,11 +66,19 @@ def moving(df: DataFrame, by: list[str], time: str, value: str, aggs: dict[str,
 
 #: Parts into which a group's values are cut to find those around a rank.
 CELLS = 1024
+#: Rows of a group up to which its values may be counted in one buffer, which then has at most so many entries.
+BUFFERED = 2_000_000
 
 
-def percentiles(df: DataFrame, by: list[str], column: str, rates: dict[str, float]) -> DataFrame:
+def largest_group(df: DataFrame, by: list[str]) -> int:
+    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+
+
+def percentiles(df: DataFrame, by: list[str], column: str, rates: dict[str, float], largest: int | None = None) -> DataFrame:
     """(by..., one column for each rate): exact PERCENTILE_CONT of groups of any size; nulls are left out.
 
+    `largest` is the size of the largest group, counted if it isn't given. Up to BUFFERED rows Spark's own aggregate
+    does it, which holds a group's distinct values; beyond that the same values come from counts.
     A group's range is cut in CELLS parts, whose counts (combined on the map side) tell which of them hold the ranks
     asked for. Only values of those parts are put in order, as distinct values with their counts; no group is held
     in one buffer. A group without values has no row.
@@ -78,6 +86,9 @@ def percentiles(df: DataFrame, by: list[str], column: str, rates: dict[str, floa
     for r in rates.values():
         if not 0 <= r <= 1:
             raise ValueError("a rate lies between 0 and 1")
+    if (largest_group(df, by) if largest is None else largest) <= BUFFERED:
+        own = F.col(column).cast("double")
+        return df.where(own.isNotNull()).groupBy(*by).agg(*[F.percentile(own, r).alias(n) for n, r in rates.items()])
     v = F.col("_v")
     rows = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v"))
     ends = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))

@@ -289,8 +289,9 @@ def agg_total(t):
 
 @query("SELECT event_type, round(median(value), 6) AS med, trunc(median(user_id))::BIGINT AS med_user FROM events GROUP BY event_type")
 def agg_median(t):
-    value = relational.percentiles(t.events, ["event_type"], "value", {"med": 0.5})
-    user = relational.percentiles(t.events, ["event_type"], "user_id", {"med_user": 0.5})
+    most = relational.largest_group(t.events, ["event_type"])
+    value = relational.percentiles(t.events, ["event_type"], "value", {"med": 0.5}, most)
+    user = relational.percentiles(t.events, ["event_type"], "user_id", {"med_user": 0.5}, most)
     return value.join(user, "event_type").select("event_type", F.round("med", 6).alias("med"), col("med_user").cast("bigint").alias("med_user"))
 
 
