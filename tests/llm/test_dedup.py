@@ -1,6 +1,7 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -265,6 +266,34 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_shared_folder(spark):
+    """What an application wrote is deleted; a cluster without a shared folder is an error."""
+    at = common.shared_dir(spark).removeprefix("file://")
+    assert common.materialize(spark.range(3), "t").count() == 3
+    assert list(Path(at).rglob("t/*.parquet"))
+    common.clean(spark)
+    assert not list(Path(at).rglob("*.parquet"))
+
+    class Local:
+        class conf:
+            get = staticmethod(lambda name, default: None)
+
+        sparkContext = spark.sparkContext
+
+    assert common.shared_dir(Local) == common.shared_dir(Local) != common.shared_dir(spark)
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Cluster)
+    assert common.fresh(spark.createDataFrame([], "_ID int, __x int"), "id", "x") == ["___id", "___x"]
+
+
 # --- passages -----------------------------------------------------------------------------------
 
 

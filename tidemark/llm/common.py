@@ -22,6 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. Only a session on this machine alone may name none: it gets a temporary
     folder, which goes with the process. ValueError on a cluster without `spark.checkpoint.dir`."""
@@ -29,10 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        d = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, d, ignore_errors=True)
-        d = "file://" + d
-        spark.conf.set("spark.checkpoint.dir", d)
+        # the setting itself can't be changed in a session that runs
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        d = "file://" + _own[app]
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(d)
     d = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
@@ -51,14 +56,6 @@ def clean(spark: SparkSession) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that `materialize` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -113,20 +110,6 @@ def small(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa
             yield b.slice(i, step)
 
 
-def grouped(parts, keys: int):
-    """Rows of sorted batches as lists, a group of equal first `keys` columns at a time."""
-    key, rows = None, []
-    for b in parts:
-        for r in zip(*(c.to_pylist() for c in b.columns)):
-            if r[:keys] != key:
-                if rows:
-                    yield key, rows
-                key, rows = r[:keys], []
-            rows.append(r[keys:])
-    if rows:
-        yield key, rows
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` with `value` evaluated once: a lambda's body would evaluate an outer expression for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)
