@@ -30,13 +30,23 @@ WHOLE = r"<\||[\x1c-\x1f]"
 RANGE_BYTES, HELD = 32 << 20, 400_000
 
 
+def _ints(n: np.ndarray) -> bytes:
+    """Numbers in the fewest bytes each that hold them all."""
+    kind = np.min_scalar_type(int(n.max())) if len(n) else np.dtype("u1")
+    return bytes([kind.itemsize]) + n.astype(kind).tobytes()
+
+
+def _from_ints(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1)
+
+
 def _stored(words: pa.Array) -> tuple[bytes, bytes]:
     """Lengths and bytes of words."""
-    return pc.binary_length(words).to_numpy(zero_copy_only=False).astype("<u4").tobytes(), b"".join(w.as_buffer().to_pybytes() for w in words.cast(pa.binary()))
+    return _ints(pc.binary_length(words).to_numpy(zero_copy_only=False)), b"".join(w.as_buffer().to_pybytes() for w in words.cast(pa.binary()))
 
 
 def _restored(lengths: bytes, data: bytes) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, "<u4"))]).astype("<i8")
+    offsets = np.concatenate([[0], np.cumsum(_from_ints(lengths), dtype="i8")]).astype("<i8")
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)).cast(pa.string())
 
 
@@ -87,7 +97,7 @@ def _word_table(places: DataFrame, path: str, size: int) -> str:
             codes = np.array(codes, object)
             for (place, lengths, data), own in zip(rows, each):
                 at = pc.index_in(own, words).to_numpy()
-                yield place, lengths, data, sizes[at].astype("<u4").tobytes(), b"".join(codes[at])
+                yield place, lengths, data, _ints(sizes[at]), _ints(np.frombuffer(b"".join(codes[at]), "<u4"))
 
         def batch(made):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.int64(), *[pa.binary()] * 4))], names=["place", "lengths", "words", "counts", "ids"])
@@ -115,10 +125,10 @@ def _load(at: str, place: int) -> tuple[pa.Array, pa.ListArray]:
     words, counts, ids = [pa.array([], pa.string())], [], []
     for lengths, data, n, codes in recurrence.lists(at, place, ["lengths", "words", "counts", "ids"]):
         words.append(_restored(lengths.as_py(), data.as_py()))
-        counts.append(np.frombuffer(n.as_py(), "<u4"))
-        ids.append(np.frombuffer(codes.as_py(), "<u4"))
+        counts.append(_from_ints(n.as_py()).astype("i4"))
+        ids.append(_from_ints(codes.as_py()).astype("i4"))
     offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts) if counts else [])]).astype("i4")
-    return pa.chunked_array(words).combine_chunks(), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype("i4") if ids else np.zeros(0, "i4")))
+    return pa.chunked_array(words).combine_chunks(), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, "i4")))
 
 
 def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, schema: str, made: Callable[[pa.Array, pa.ListArray], pa.RecordBatch]) -> DataFrame:
