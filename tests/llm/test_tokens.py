@@ -84,7 +84,7 @@ def test_bpe_tables(spark, library, monkeypatch, tmp_path):
         assert Counter((r[0], tuple(r[1])) for r in bpe.encode(docs, path).collect()) == want
     assert Counter((r[0], r[1]) for r in bpe.digests(files, path).select("doc_id", "n_tokens").collect()) == Counter((i, len(x)) for i, x in want.elements())
     scan = recurrence.in_place(files.select("doc_id", F.upper("text")), "t")
-    assert "shared" not in scan.inputFiles()[0] and recurrence.in_place(df, "t").inputFiles()[0] not in scan.inputFiles()
+    assert "docs" in scan.inputFiles()[0] and recurrence.in_place(df, "t").inputFiles()[0] not in scan.inputFiles()
     none = spark.createDataFrame([(1, None), (2, [5, 7])], "doc_id long, ids array<int>")
     assert {r[0]: r[1] for r in bpe.decode(none, path).collect()} == {1: "", 2: lib.decode([5, 7], skip_special_tokens=False)}
 

@@ -1,6 +1,6 @@
 """How often a hash occurs in the whole corpus, told to each part of it without moving its texts.
 
-A table written to the shared folder is read back by blocks of its files, its places. A first pass takes
+A table is read by places: what one task wrote, or so many rows of a file. A first pass takes
 the hashes of each place, each once with its count, in order, as differences: a few bytes a hash. They meet
 by ranges of the hash, whose number grows with the corpus, so that a range has one size; ranges send to
 each place those of its hashes that occur more than once, with their counts. These lists are written by
@@ -25,23 +25,27 @@ from .common import materialize, new_dir, small
 
 #: Hashes of a range, on average, and hashes of a place that are put in order at once.
 RANGE, HELD = 1 << 20, 1 << 21
+#: Rows of a place in a table that is left where it is.
+PLACE_ROWS = 8192
 #: Hashes are cut to so many bits more than it takes to number them all: one in 2**20 is taken for another.
 SPARE_BITS = 20
 
 
 def placed(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read back with `place`, the same at each reading of one session."""
-    return materialize(df, name).withColumn("place", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+    """`df` written to the shared folder and read back with `place`, the number of the task that wrote a row. It stands
+    in the files, so it is the same at each reading, however they are split then."""
+    return materialize(df.withColumn("place", F.spark_partition_id().cast("long")), name)
 
 
 def in_place(df: DataFrame, name: str) -> DataFrame:
-    """As `placed`, but a table read from files with nothing but projections and filters is left where it is."""
+    """As `placed`, but a Parquet table read with nothing but projections and filters is left where it is: a place is
+    then PLACE_ROWS rows of a file, by their number in it."""
     tree = df._jdf.queryExecution().optimizedPlan()
     while tree.children().size() == 1 and tree.nodeName() in ("Project", "Filter"):
         tree = tree.children().head()
-    if tree.children().size() or not tree.nodeName().startswith("LogicalRelation"):
+    if tree.children().size() or not tree.nodeName().startswith("LogicalRelation") or "parquet" not in tree.toString().lower():
         return placed(df, name)
-    return df.withColumn("place", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+    return df.withColumn("place", F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / PLACE_ROWS)))
 
 
 def packed(h: np.ndarray) -> bytes:
