@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from texts import prose
 
 import corpus_pipeline as C
+from tidemark.llm import common
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -56,6 +57,7 @@ def test_stages(spark, tmp_path, documents):
     for r in seen["best_fit_packing"].collect():
         sizes[r["doc_id"]] += r["length"]
     assert sizes == Counter({i: len(lib.encode(r["text"], add_special_tokens=False).ids) + 1 for i, r in last.items()})
+    assert not (left := [p for p in common._given if "tidemark" in p and p in sum(common._last_step.values(), [])]), left
     key = lambda d: sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in d.collect())
     assert key(C.run(spark, str(tmp_path))) == key(seen["best_fit_packing"])
 

@@ -44,16 +44,47 @@ def shared_dir(spark: SparkSession) -> str:
     return re.sub(r"^file:/+", "file:///", d).rstrip("/")  # a full URI, which Arrow reads too
 
 
+#: Paths that were given out, in that order.
+_given: list[str] = []
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     """A new path in this application's part of the shared folder."""
-    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+    _given.append(f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}")
+    return f"{_given[-1]}/{name}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def clean(spark: SparkSession) -> None:
     """Delete what this application wrote to the shared folder. DataFrames that the operators returned read from it,
     so this comes after they were written."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}")
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _delete(spark, f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}")
+
+
+_last_step: dict[str, list[str]] = {}
+
+
+@contextmanager
+def step(spark: SparkSession, docs: DataFrame, last: bool = False) -> Iterator[None]:
+    """One of several steps, each of which begins when the result of the one before is written: what that one left in
+    the shared folder is deleted first, but for what `docs` itself reads. Only what steps wrote is; the last one's
+    files stay for its result."""
+    app = spark.sparkContext.applicationId
+    if old := _last_step.pop(app, []):
+        read = "\n".join(docs.inputFiles())
+        for path in old:
+            if path.rpartition("/")[2] not in read:
+                _delete(spark, path)
+    begin = len(_given)
+    try:
+        yield
+    finally:
+        if not last:
+            _last_step[app] = _given[begin:]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
