@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again
 as the next one's documents. All but the last return the columns of `documents`; further columns, whatever
-their names, are left out. Every stage takes an empty table, which gives no rows. Ids may be null or repeat.
+their names, are left out. A stage deletes what the one before left in the shared folder, as that one's result is
+written by then. Every stage takes an empty table, which gives no rows. Ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language, neardup, packing, passages, secrets
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import materialize, step, table
 from tidemark.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,30 +31,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts and texts without letters are `und`. A null label or source is no evidence; in a table
     without labels nothing can be told to be in a language, so all rows go. Repeated rows are decided alike.
     """
-    docs = docs.select(*COLUMNS)
-    model = language.fit(docs, "doc_id", "text", "lang")
-    return language.identify(docs, model, host=F.col("source")).where("kept").select(*COLUMNS)
+    with step(spark, docs):
+        docs = docs.select(*COLUMNS)
+        model = language.fit(docs, "doc_id", "text", "lang")
+        return language.identify(docs, model, host=F.col("source")).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, that of least id; null texts are empty, and all empty ones are one class."""
-    return neardup.keep_one(docs.select(*COLUMNS))
+    with step(spark, docs):
+        return neardup.keep_one(docs.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages are cut out, in other documents or in the same one; documents of nothing else go.
     Null and empty texts stay as they are."""
-    return _measured(passages.remove(docs.select(*COLUMNS)))
+    with step(spark, docs):
+        return _measured(passages.remove(docs.select(*COLUMNS)))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; no document goes. Null texts stay null, with a null n_chars."""
-    return _measured(secrets.redact(docs.select(*COLUMNS)))
+    with step(spark, docs):
+        return _measured(secrets.redact(docs.select(*COLUMNS)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and offset; a null text is its end id alone."""
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+    with step(spark, docs, last=True):
+        return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
