@@ -177,6 +177,27 @@ def test_families_around_the_threshold(spark):
     assert sum((got & want).values()) >= 0.98 * len(rows)
 
 
+def test_buckets_larger_than_a_block_lose_no_pair(spark, monkeypatch):
+    """Nodes that share one band alone, more of them than are compared at once."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = np.random.default_rng(4)
+    nodes = [bytes([k]) * 16 for k in range(30)]
+    made = rng.integers(0, 1 << 32, (30, neardup.BANDS * neardup.ROWS), dtype="u4")
+    made[:, :3] = 7
+    fit, large = neardup._buckets(spark.createDataFrame(list(zip(nodes, (m.tobytes() for m in made))), "node binary, samples binary"))
+    assert fit.count() == 0 and {bytes(r["node"]) for r in large.collect()} == set(nodes)
+    classes = {n: nodes[0] if k < 20 else n for k, n in enumerate(nodes)}
+    for of in (None, classes):
+        tiles = neardup._tiles(large, of and spark.createDataFrame(list(of.items()), "node binary, component binary"))
+        blocks = defaultdict(set)
+        for r in tiles.collect():
+            blocks[r["bucket"]].add(bytes(r["node"]))
+        assert max(map(len, blocks.values())) <= 4
+        met = {(a, b) for own in blocks.values() for a in own for b in own}
+        assert all((a, b) in met for a in nodes for b in nodes if (of or {}).get(a, a) != (of or {}).get(b, b))
+    assert len(blocks) < 15 * 14 // 2 - 40  # parts of one class don't meet
+
+
 def test_keep_one(spark, rows):
     df = frame(spark, rows)
     for c in ("_md5", "_id", "_node", "component", "class_id"):

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import recurrence, vectors
@@ -25,8 +25,7 @@ BANDS, ROWS = 12, 3
 SIGNS = 128
 #: Entries of the table of random variates.
 VARIATES = 1 << 16
-#: Nodes compared at once. A larger bucket is split by each further band; what is still larger is compared in blocks,
-#: in the order of the samples, which starts at another sample in each round.
+#: Nodes compared at once. A larger bucket is dealt into parts of half as many, of which each two are compared.
 BLOCK = 4096
 #: Estimates below this aren't verified: at similarity 0.8, 3.7 standard deviations less.
 LEAST_ESTIMATE = 86 / 128
@@ -128,27 +127,46 @@ def _signs(texts: DataFrame, n: int) -> DataFrame:
     return texts.select("node", "text", "df").mapInArrow(run, "node binary, signs binary")
 
 
-def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Buckets that two nodes or more share, one of those with the same nodes, as (bucket, node); and those too large."""
-    sizes = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("same"), F.first("i").alias("i")).where("n > 1"), "buckets")
-    fit = sizes.where(F.col("n") <= BLOCK).groupBy("n", "same").agg(F.min("bucket").alias("_bucket")).select("_bucket")
-    return rows.join(fit, F.col("bucket") == F.col("_bucket"), "left_semi").select("bucket", "node"), sizes.where(F.col("n") > BLOCK).select(F.col("bucket").alias("_bucket"))
-
-
-def _buckets(sketches: DataFrame) -> DataFrame:
-    """(bucket, node). A bucket with more than BLOCK nodes gives way to those of its nodes that share another band too."""
+def _buckets(sketches: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(bucket, node) of the bands that up to BLOCK nodes share, and (bucket, part, node) of larger ones, if there are
+    any: parts of BLOCK nodes in the order of the samples. Of buckets with the same nodes there is one."""
     bands = [F.xxhash64(F.lit(i), F.substring("samples", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)]
-    rows = sketches.select("node", F.posexplode(F.array(*bands)).alias("i", "bucket"))
-    kept, large = _split(rows)
+    rows = sketches.select("node", "samples", F.explode(F.array(*bands)).alias("bucket"))
+    sizes = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("same")).where("n > 1"), "buckets")
+    sizes = sizes.groupBy("n", "same").agg(F.min("bucket").alias("_bucket"))
+    on = F.col("bucket") == F.col("_bucket")
+    fit = rows.select("bucket", "node").join(sizes.where(F.col("n") <= BLOCK).select("_bucket"), on, "left_semi")
+    large = sizes.where(F.col("n") > BLOCK).select("_bucket")
     if large.isEmpty():
-        return kept
-    large = large if large.count() > BROADCAST_KEYS else F.broadcast(large)
-    again = sketches.select("node", F.array(*bands).alias("bands"), F.posexplode(F.array(*bands)).alias("i", "bucket")).join(large, F.col("bucket") == F.col("_bucket"), "left_semi")
-    again = again.select("node", "i", "bucket", F.posexplode("bands").alias("j", "other")).where("i <> j").select("node", "i", F.xxhash64("bucket", "j", "other").alias("bucket"))
-    again = materialize(again, "split")
-    more, still = _split(again)
-    still = again.join(still, F.col("bucket") == F.col("_bucket"), "left_semi").select("bucket", "node")
-    return kept.union(more).union(still)
+        return fit, None
+    large = rows.join(large if large.count() > BROADCAST_KEYS else F.broadcast(large), on, "left_semi")
+    return fit, materialize(large.select("bucket", _part(BLOCK, "samples", "node"), "node"), "large")
+
+
+def _part(size: int, *order: str) -> Column:
+    """Number of each node's part of its bucket: `size` nodes each, in that order."""
+    at = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
+    return F.floor((at - 1) / size).alias("part")
+
+
+def _tiles(large: DataFrame, classes_: DataFrame | None) -> DataFrame:
+    """(bucket, node): of the larger buckets, each two parts that hold nodes of different classes, so every such pair of
+    nodes meets. Nodes are dealt in the order of their classes: two parts of one class needn't meet."""
+    rows = _classed(large.select("bucket", "node"), classes_)
+    dealt = materialize(rows.select("bucket", _part(max(1, BLOCK // 2), "component", "node"), "node", "component"), "dealt")
+    ends = dealt.groupBy("bucket", "part").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    other = ends.select(F.col("bucket").alias("_bucket"), F.col("part").alias("other"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    both = ends.join(other, (F.col("bucket") == F.col("_bucket")) & (F.col("part") < F.col("other"))).where("least(low, _low) <> greatest(high, _high)")
+    both = both.select(F.col("bucket").alias("_bucket"), F.xxhash64("bucket", "part", "other").alias("tile"), F.explode(F.array("part", "other")).alias("_part"))
+    return dealt.join(both, (F.col("bucket") == F.col("_bucket")) & (F.col("part") == F.col("_part"))).select(F.col("tile").alias("bucket"), "node")
+
+
+def _classed(rows: DataFrame, classes_: DataFrame | None) -> DataFrame:
+    """(bucket, node, component)"""
+    if classes_ is None:
+        return rows.withColumn("component", F.col("node"))
+    rows = rows.join(classes_.select(F.col("node").alias("_node"), "component"), F.col("node") == F.col("_node"), "left")
+    return rows.select("bucket", "node", F.coalesce("component", "node").alias("component"))
 
 
 def _pairs(m: np.ndarray, group: np.ndarray, failed: list[tuple[int, int]], partners: int, forest: bool) -> set[tuple[int, int]]:
@@ -164,10 +182,11 @@ def _pairs(m: np.ndarray, group: np.ndarray, failed: list[tuple[int, int]], part
         same[i, j] = same[j, i] = 0
     out: set[tuple[int, int]] = set()
     k = min(partners, n - 1)
-    best = np.argpartition(same, n - k, axis=1)[:, n - k :]
-    for i, j in zip(np.repeat(np.arange(n), k).tolist(), best.ravel().tolist()):
-        if same[i, j] >= least:
-            out.add((min(i, j), max(i, j)))
+    for first in range(0, n, 256):
+        best = np.argpartition(same[first : first + 256], n - k, axis=1)[:, n - k :]
+        at = np.repeat(np.arange(first, first + len(best)), k)
+        good = same[at, best.ravel()] >= least
+        out.update((min(i, j), max(i, j)) for i, j in zip(at[good].tolist(), best.ravel()[good].tolist()))
     if forest:  # Prim's algorithm on estimates
         left, near, from_, i = np.ones(n, bool), np.full(n, -1, "i2"), np.zeros(n, "i8"), 0
         for _ in range(n - 1):
@@ -184,12 +203,9 @@ def _pairs(m: np.ndarray, group: np.ndarray, failed: list[tuple[int, int]], part
 
 def _candidates(buckets: DataFrame, signs: DataFrame, turn: int, classes_: DataFrame | None, failed: DataFrame | None) -> DataFrame:
     """Distinct (a, b) nodes to verify in a round: of different classes, not verified before."""
-    rows = buckets
+    rows = _classed(buckets, classes_)
     none = F.lit(None).cast("binary")
-    if classes_ is None:
-        rows = rows.withColumn("component", F.col("node"))
-    else:
-        rows = rows.join(classes_.select(F.col("node").alias("_node"), "component"), F.col("node") == F.col("_node"), "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    if classes_ is not None:
         open_ = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("bucket").alias("_bucket"))
         rows = rows.join(open_, F.col("bucket") == F.col("_bucket"), "left_semi")
     rows = rows.join(signs.select(F.col("node").alias("_node"), "signs"), F.col("node") == F.col("_node")).drop("_node")
@@ -198,8 +214,7 @@ def _candidates(buckets: DataFrame, signs: DataFrame, turn: int, classes_: DataF
     else:
         own = failed.groupBy("a").agg(F.collect_list("b").alias("failed"))
         rows = rows.join(own, F.col("node") == F.col("a"), "left").drop("a")
-    start = 29 * turn % SIGNS + 1
-    rows = rows.select("bucket", F.concat(F.expr(f"substring(signs, {start})"), "signs").alias("place"), "node", F.when(F.col("component") != F.col("node"), F.col("component")).otherwise(none).alias("component"), "failed")
+    rows = rows.select("bucket", "signs", "node", F.when(F.col("component") != F.col("node"), F.col("component")).otherwise(none).alias("component"), "failed")
 
     def run(parts):
         a: list[bytes] = []
@@ -208,7 +223,7 @@ def _candidates(buckets: DataFrame, signs: DataFrame, turn: int, classes_: DataF
         def work(block):
             if len(block) < 2:
                 return
-            m = np.frombuffer(b"".join(r[0][-SIGNS:] for r in block), "u1").reshape(len(block), -1)
+            m = np.frombuffer(b"".join(r[0] for r in block), "u1").reshape(len(block), -1)
             at = {r[1]: i for i, r in enumerate(block)}
             names: dict[bytes, int] = {}
             group = np.array([names.setdefault(r[2] or r[1], len(names)) for r in block])
@@ -229,9 +244,6 @@ def _candidates(buckets: DataFrame, signs: DataFrame, turn: int, classes_: DataF
                 if k != key:
                     work(block)
                     block = []
-                elif len(block) >= BLOCK:
-                    work(block)
-                    block = block[-1:]  # the next block goes on from it
                 key = k
                 block.append(r)
                 if len(a) > 100_000:
@@ -239,7 +251,7 @@ def _candidates(buckets: DataFrame, signs: DataFrame, turn: int, classes_: DataF
         work(block)
         yield batch()
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "place").mapInArrow(run, "a binary, b binary").distinct()
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _weighted(side: list[tuple[str, bytes]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -298,25 +310,32 @@ def links(placed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     spark = placed.sparkSession
     counts, n = _frequencies(placed)
     sketches = materialize(_sketches(placed, counts, n).dropDuplicates(["node"]), "sketches")
-    buckets = materialize(_buckets(sketches), "members")
-    texts = _texts_of(placed, sketches, buckets.select("node").distinct())
+    fit, large = _buckets(sketches)
+    members = fit if large is None else fit.union(large.select(F.xxhash64("bucket", "part").alias("bucket"), "node"))
+    members = materialize(members, "members")
+    texts = _texts_of(placed, sketches, members.select("node").distinct())
     signs = materialize(_signs(texts, n), "signs")
-    found: DataFrame | None = None
-    parts: DataFrame | None = None
+    found, parts = _rounds(members, signs, texts, n, None, None)
+    if large is not None:
+        found, parts = _rounds(materialize(_tiles(large, parts), "tiles"), signs, texts, n, found, parts)
+    return spark.createDataFrame([], "a binary, b binary, ok boolean") if found is None else found, parts
+
+
+def _rounds(buckets: DataFrame, signs: DataFrame, texts: DataFrame, n: int, found: DataFrame | None, parts: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Verified pairs and classes, after those of `buckets` were verified until none is left that could join two classes."""
     turn = 0
     while True:
         failed = None if found is None else found.where("not ok")
         pairs = materialize(_candidates(buckets, signs, turn, parts, failed), "pairs")
         if pairs.isEmpty():
-            break
-        with wide_rows(spark):
+            return found, parts
+        with wide_rows(buckets.sparkSession):
             now = materialize(_verified(_with_texts(pairs, texts), n), "verified")
         found = now if found is None else found.union(now)
         new = now.where("ok").select("a", "b")
         if not new.isEmpty():
             parts = _joined(new, parts)
         turn += 1
-    return spark.createDataFrame([], "a binary, b binary, ok boolean") if found is None else found, parts
 
 
 def _joined(new: DataFrame, parts: DataFrame | None) -> DataFrame:
