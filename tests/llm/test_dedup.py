@@ -1,5 +1,7 @@
 import hashlib
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -198,6 +200,33 @@ def test_buckets_larger_than_a_block_lose_no_pair(spark, monkeypatch):
     assert len(blocks) < 15 * 14 // 2 - 40  # parts of one class don't meet
 
 
+def test_workers_hand_memory_back():
+    """What a process holds after a task's batches is little more than before them."""
+    code = """
+import pyarrow as pa
+from tidemark.llm.common import small
+
+def held():
+    return next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("RssAnon")) / 1024
+
+def parts():
+    for _ in range(4):
+        yield pa.RecordBatch.from_arrays([pa.array(["x" * 2000] * 10_000)], names=["t"])
+
+def task():
+    for b in small(parts()):
+        pa.RecordBatch.from_arrays([pa.array(b.column(0).to_pylist())], names=["t"])
+
+task()
+pool = pa.default_memory_pool()
+after = held()
+pool.release_unused()
+print(after - held())
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True).stdout
+    assert float(got) < 10
+
+
 def test_keep_one(spark, rows):
     df = frame(spark, rows)
     for c in ("_md5", "_id", "_node", "component", "class_id"):
