@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -389,3 +390,17 @@ def test_arc_converter(spark):
             list(warc.load(io.BytesIO(stored[:-9])))
     with pytest.raises(ValueError):
         list(warc.parse_arc(io.BytesIO(b"http://x 1.2.3.4 2001 text/html 3\nabc\n")))
+
+
+def test_likelihoods_hold_a_part_of_the_texts_at_once():
+    rng = np.random.default_rng(6)
+    texts = [None, "", *("".join(map(chr, rng.choice([32, 97, 98, 99, 233], 20_000))) for _ in range(400))]
+    table = rng.normal(-8, 1, (language.BUCKETS, 3)).astype("f4")
+    tracemalloc.start()
+    got, n = language.likelihoods(table, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6, peak
+    for k in (0, 1, 2, 60, 61, 401):
+        one, m = language.likelihoods(table, [texts[k]])
+        assert np.allclose(got[k], one[0]) and n[k] == m[0]

@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType
 
+from . import vectors
 from .common import map_rows, materialize
 
 #: Labelled rows of the sample, and characters used of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 5000
 BUCKETS = 1 << 16
+#: Characters whose trigrams are held at once, at some 40 bytes each; a longer text comes alone.
+HELD = 1 << 20
 #: Trigrams of one text depend on each other; their joint log likelihood counts this much.
 TEMPER = 0.3
 #: The class `und` spreads evenly over so many trigrams, and has this prior.
@@ -68,14 +71,16 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: i
 
 def likelihoods(table: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Log likelihood of each text in each language and under `und` (last), and its trigrams."""
-    h, n = trigrams(texts)
-    ends = np.cumsum(n)
-    out = np.zeros((len(texts), table.shape[1] + 1))
-    for k in range(table.shape[1]):
-        s = np.concatenate([[0.0], np.cumsum(table[h, k], dtype="f8")])
-        out[:, k] = s[ends] - s[ends - n]
-    out[:, -1] = -np.log(UND_TRIGRAMS) * n
-    return out, n
+    out, every = np.zeros((len(texts), table.shape[1] + 1)), np.zeros(len(texts), "i8")
+    for i, j in vectors.batches(texts, HELD):
+        h, n = trigrams(texts[i:j])
+        ends = np.cumsum(n)
+        for k in range(table.shape[1]):
+            s = np.concatenate([[0.0], np.cumsum(table[h, k], dtype="f8")])
+            out[i:j, k] = s[ends] - s[ends - n]
+        every[i:j] = n
+    out[:, -1] = -np.log(UND_TRIGRAMS) * every
+    return out, every
 
 
 def _counts(df: DataFrame, keys: list[str], size: int) -> DataFrame:
