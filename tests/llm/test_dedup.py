@@ -451,6 +451,18 @@ def test_passage_twice_in_one_document(spark):
     assert len(left[1]) == 80 and left[2] == line.split() and len(left[3]) == 10 and len(left[None]) == 120
 
 
+def test_edited_passages_with_few_seeds_are_all_found(spark):
+    """Every sixth word changed: runs of five words are left, and each of them is a seed."""
+    rng = random.Random(66)
+    rows = []
+    for k in range(80):
+        passage = prose(rng, 60).split()
+        rows.append((k, f"{prose(rng, 20)} {' '.join(passage)} {prose(rng, 20)}"))
+        rows.append((1000 + k, f"{prose(rng, 20)} {' '.join(f'new{k}x{i}' if i % 6 == 5 else x for i, x in enumerate(passage))} {prose(rng, 20)}"))
+    got = {(r["doc_id"], r["source_doc_id"]) for r in passages.report(frame(spark, rows)).collect()}
+    assert got == {(1000 + k, k) for k in range(80)}
+
+
 @pytest.mark.parametrize("every, words, least", [(8, 120, 0.98), (7, 120, 0.97), (6, 120, 0.9), (10, 60, 0.95), (0, 80, 0.9)])
 def test_recall_of_edited_passages(spark, every, words, least):
     """Passages with each `every`-th word changed, or (0) 15 % of words anywhere: share of their words found."""
