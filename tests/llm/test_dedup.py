@@ -486,6 +486,52 @@ def test_recall_of_edited_passages(spark, every, words, least):
     assert sum(len(found[k] - w) for k, w in where.items()) < 0.02 * 60 * words
 
 
+def test_reach_is_never_less_than_an_extension():
+    """From the bits of the words beside a seed: no less than what is aligned there, and mostly not left open."""
+    rng = random.Random(31)
+    told = many = 0
+    for k in range(3000):
+        names = [f"w{i}" for i in range(rng.choice([2, 5, 60, 2000]))]
+        a, b = ([rng.choice(names) for _ in range(rng.randrange(25))] for _ in range(2))
+        for x in range(0, min(len(a), len(b)), rng.randrange(1, 9)):  # some words in common, on one diagonal or another
+            b[x] = a[max(0, x - k % 3)]
+        texts = [f"{' '.join(a[::-1])} 1 2 3 4 5 {' '.join(a)}", f"{' '.join(b[::-1])} 1 2 3 4 5 {' '.join(b)}"]
+        w = vectors.words(texts)
+        at = np.array([len(a), w.first[1] + len(b)])
+        (before, after), (before2, after2) = (passages._halves(passages.near(w)[at[i : i + 1]]) for i in range(2))
+        x, y = (passages._short(w.hash[w.first[i] : w.first[i + 1]]) for i in range(2))
+        s = passages.align([(len(a), len(b))], x, y)
+        left, right = max(len(a) - s[0][0], len(b) - s[0][1]), max(s[-1][0] - len(a), s[-1][1] - len(b)) + s[-1][2] - passages.K
+        for got, took in ((passages.reach(before, before2)[0], left), (passages.reach(after, after2)[0], right)):
+            assert got >= min(took, passages.MIN_WORDS)
+            if len(names) > 1000 and k % 3 == 0 and not set(a) & set(b):
+                told, many = told + (got < passages.MIN_WORDS), many + 1
+    assert many > 30 and told >= 0.8 * many
+
+
+def test_phrases_in_common_are_no_pairs(spark, monkeypatch):
+    """Documents that share some words only are told apart before their words are sent anywhere."""
+    rng = random.Random(32)
+    phrases = [prose(rng, 5 + k % 4) for k in range(30)]
+    passage = prose(rng, 60).split()
+    rows = [(k, " ".join(f"{prose(rng, 30)} {rng.choice(phrases)}" for _ in range(4))) for k in range(60)]
+    rows += [(100, f"{prose(rng, 30)} {' '.join(passage)}"), (101, f"{' '.join('new' if i % 6 == 5 else x for i, x in enumerate(passage))} {prose(rng, 30)}")]
+    sent, write = [], passages.materialize
+    monkeypatch.setattr(passages, "materialize", lambda df, name: [out := write(df, name), sent.append(out.count()) if name == "pairs" else None][0])
+    got = [(r["doc_id"], r["source_doc_id"]) for r in passages.report(frame(spark, rows)).collect()]
+    assert got == [(101, 100)] and sent[0] <= 30
+
+
+def test_shuffle_files_go_with_their_job(spark, tmp_path):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name, None)
+    before = files.getAllFiles().size()
+    with common.tidy(spark):
+        spark.range(1000).repartition(5, "id").write.parquet(f"{tmp_path}/a")
+    assert files.getAllFiles().size() <= before and spark.conf.get(name, None) == setting
+
+
 def test_judged_by_brute_force():
     """Equal runs of 50 are found, and something wherever a part of 50 that ends well is 80 % equal."""
     rng = np.random.default_rng(6)
