@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from texts import corpus, edited, frame, prose
@@ -298,6 +299,74 @@ def test_samples_agree_as_often_as_weighted_sets_do():
     assert abs((m[0] == m[1]).mean() - want) < 0.04
 
 
+def test_samples_of_usual_weights_are_looked_up(monkeypatch):
+    rng = np.random.default_rng(4)
+    at = np.repeat(np.arange(40), rng.integers(0, 60, 40))
+    h = rng.integers(0, 1 << 63, len(at), dtype="u8")
+    w = rng.choice([1, 2, 5], len(at), p=[0.9, 0.07, 0.03]).astype("f4")
+    h[1], w[1] = h[0], w[0]  # a tie
+    r_, c_, b_ = neardup.variates()
+    multipliers = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 5, dtype="u8") * np.uint64(2) + np.uint64(1)
+    want = np.zeros((41, 5), "u4")
+    for text in set(at.tolist()):
+        own = np.flatnonzero(at == text)
+        for j in range(5):
+            k = (h[own] * multipliers[j]) >> np.uint64(48)
+            t = np.floor(np.log(w[own]) / r_[k] + b_[k])
+            i = int((c_[k] - r_[k] * (t - b_[k] + 1)).argmin())
+            want[text, j] = vectors.mix(h[own][i : i + 1] + (t[i : i + 1].astype("i8").astype("u8") + np.uint64(j << 32)) * np.uint64(vectors.STEP))[0] >> np.uint64(32)
+    worked, ranked = [], neardup._ranked
+    monkeypatch.setattr(neardup, "_ranked", lambda *a: worked.append(len(a[0])) or ranked(*a))
+    assert (neardup.samples(at, h, w, 41, 5) == want).all()
+    worked.clear()
+    assert (neardup.samples(at, h, w, 41, 5) == want).all()
+    assert sum(worked) == 5 * int((w != 1).sum()), "all shingles are worked out"
+
+
+def test_most_hashes_are_not_searched(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    known = np.sort(rng.integers(0, 1 << 40, 1000, dtype="u8"))
+    monkeypatch.setattr(recurrence, "lists", lambda *_: [(pa.scalar(recurrence.packed(known)), pa.scalar(recurrence.small_ints(np.full(1000, 3))))])
+    asked, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *x, **y: asked.append(len(v)) or search(a, v, *x, **y))
+    h = np.concatenate([known << np.uint64(24), rng.integers(0, 1 << 63, 20_000, dtype="u8")])
+    n = recurrence.Counts("nowhere", 40).count(0, h)
+    assert n[:1000].tolist() == [3] * 1000 and n[1000:].tolist() == [3 if x >> 24 in set(known.tolist()) else 1 for x in h[1000:].tolist()]
+    assert sum(asked) < 5000, "every hash is searched for"
+
+
+def test_unlike_words_end_an_extension_at_once(monkeypatch):
+    rng = random.Random(6)
+
+    def plain(a, b):  # an extension from every place
+        i = j = 0
+        out = []
+        while True:
+            took = passages._extend(a[i:], b[j:])
+            out += [(i, j, took)] * (took > 0)
+            i, j = i + took, j + took
+            p, q = a[i : i + passages.MOST_SHIFT + 1].tolist(), b[j : j + passages.MOST_SHIFT + 1].tolist()
+            jump = min(((x + y, x) for x in range(len(p)) for y in range(len(q)) if x + y and p[x] == q[y] and passages._agree(a[i + x :], b[j + y :])), default=None)
+            if jump is None:
+                return out
+            i, j = i + jump[1], j + jump[0] - jump[1]
+
+    for _ in range(600):
+        a = [rng.randrange(1, rng.choice([4, 40, 400])) for _ in range(rng.randrange(70))]
+        b = [x if rng.random() < 0.8 else rng.randrange(1, 400) for x in a[rng.randrange(3) :]]
+        a, b = np.array(a, "u4"), np.array(b, "u4")
+        assert passages._extend_over(a, b) == plain(a, b)
+    monkeypatch.setattr(passages, "_extend", lambda *_: pytest.fail("words without an equal one are compared"))
+    assert passages._extend_over(np.arange(1, 60, dtype="u4"), np.arange(100, 160, dtype="u4")) == []
+
+
+def test_lists_of_lists_as_arrow_reads_them():
+    for rows in ([], [[]], [[[]], [], [[1, 2], [3]], [[], [4]]]):
+        a = pa.array(rows, pa.list_(pa.list_(pa.int32())))
+        for i in range(len(rows) + 1):
+            assert list(passages._lists(a.slice(i))) == rows[i:]
+
+
 def test_words_are_those_that_white_space_parts():
     texts = ["", None, " a  b\n", "é\tà b", "x" * 70, "a b"]
     w = vectors.words(texts)

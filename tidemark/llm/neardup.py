@@ -11,6 +11,8 @@ verified links are the classes.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -68,26 +70,46 @@ def variates(size: int = VARIATES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _variates[size]
 
 
+@lru_cache(maxsize=4)
+def _ranks(log_w: np.float32) -> np.ndarray:
+    """`_ranked` of each variate at this weight."""
+    return _ranked(*variates(), log_w)
+
+
+def _ranked(r: np.ndarray, c: np.ndarray, b: np.ndarray, log_w: np.ndarray) -> np.ndarray:
+    """What is least of a text's shingles is its sample, as 64-bit integers in the same order whose lower half is 0."""
+    a = (c - r * (np.floor(log_w / r + b) - b + 1) + np.float32(0)).view("i4")  # no -0, which isn't less than 0
+    return (a ^ ((a >> 31) & 0x7FFFFFFF)).astype("i8") << 32
+
+
 def samples(at: np.ndarray, h: np.ndarray, w: np.ndarray, texts: int, count: int = BANDS * ROWS) -> np.ndarray:
-    """`count` samples of each text as 32-bit hashes of (shingle, t); zeros for a text without shingles."""
+    """`count` samples of each text as 32-bit hashes of (shingle, t); zeros for a text without shingles. `at` ascends;
+    ties go to a text's first shingle.
+
+    Most shingles have one weight, as they occur once: what a variate makes of it is looked up, not worked out again."""
     out = np.zeros((texts, count), "u4")
     if not len(h):
         return out
-    has = np.unique(at)
-    begin = np.searchsorted(at, has)
-    sizes = np.diff(np.concatenate([begin, [len(at)]]))
-    group = np.repeat(np.arange(len(has)), sizes)
-    r_, c_, b_ = variates()
-    log_w = np.log(w).astype("f4")
+    begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    variate, log_w = variates(), np.log(w).astype("f4")
+    some, n = np.unique(log_w[:: max(1, len(h) >> 12)], return_counts=True)
+    usual = some[n.argmax()]
+    rank, rest = _ranks(usual), np.flatnonzero(log_w != usual)
+    log_rest, row = log_w[rest], np.arange(len(h))
     multipliers = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, count, dtype="u8") * np.uint64(2) + np.uint64(1)
+    least, k, own = np.empty((count, len(begin)), "i8"), np.empty(len(h), "u8"), np.empty(len(h), "i8")
     for j in range(count):
-        k = (h * multipliers[j]) >> np.uint64(48)
-        r, b = r_[k], b_[k]
-        t = np.floor(log_w / r + b)
-        a = c_[k] - r * (t - b + 1)
-        hit = np.flatnonzero(a == np.minimum.reduceat(a, begin)[group])
-        hit = hit[np.concatenate([[True], group[hit][1:] != group[hit][:-1]])]  # ties go to the least hash
-        out[has, j] = (vectors.mix(h[hit] + (t[hit].astype("i8").astype("u8") + np.uint64(j << 32)) * np.uint64(vectors.STEP)) >> np.uint64(32)).astype("u4")
+        np.right_shift(np.multiply(h, multipliers[j], out=k), np.uint64(48), out=k)
+        np.take(rank, k.view("i8"), out=own, mode="clip")
+        if len(rest):
+            at_rest = k.view("i8")[rest]
+            own[rest] = _ranked(*(v[at_rest] for v in variate), log_rest)
+        np.minimum.reduceat(np.bitwise_or(own, row, out=own), begin, out=least[j])
+    hit = least & 0xFFFFFFFF
+    at_hit = ((h[hit] * multipliers[:, None]) >> np.uint64(48)).view("i8")
+    t = np.floor(log_w[hit] / variate[0][at_hit] + variate[2][at_hit]).astype("i8").astype("u8")
+    j = np.arange(count, dtype="u8")[:, None] << np.uint64(32)
+    out[at[begin]] = (vectors.mix(h[hit] + (t + j) * np.uint64(vectors.STEP)) >> np.uint64(32)).astype("u4").T
     return out
 
 
@@ -107,7 +129,7 @@ def _sketches(placed: DataFrame, counts: recurrence.Counts, n: int) -> DataFrame
                     df = counts.count(int(place[i]), h)
                     made = samples(at, h, tf.astype("f4") * idf(df, n), j - i)
                     ends = np.searchsorted(at, np.arange(j - i + 1))
-                    some = np.unique(at)
+                    some = np.flatnonzero(ends[1:] > ends[:-1])
                     yield pa.RecordBatch.from_arrays([nodes.take(pa.array(some + i)), pa.array([made[k].tobytes() for k in some], pa.binary()), pa.array([recurrence.small_ints(df[ends[k] : ends[k + 1]]) for k in some], pa.binary())], names=["node", "samples", "df"])
 
     return placed.select("node", "text", "place").mapInArrow(run, "node binary, samples binary, df binary")
