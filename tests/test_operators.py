@@ -127,6 +127,22 @@ def test_changes(spark):
     assert rows(dml.update(t, F.col("v") == "a", {"k": F.col("k") + 10, "v": F.lit("n")}).where("v = 'n'")) == [(11, "n")]
 
 
+def test_natural_join_spreads_the_pairs_of_few_keys(spark, monkeypatch):
+    monkeypatch.setattr(relational, "PAIRS", 2000, raising=False)
+    monkeypatch.setattr(relational, "SIDE", 32, raising=False)
+    a = spark.createDataFrame([(i % 2 if i % 50 else None, f"a{i % 7}") for i in range(400)] + [(7, "once")], "k int, x string")
+    b = spark.createDataFrame([(i % 2 if i % 50 else None, None if i % 3 else "b") for i in range(300)] + [(7, "once"), (8, "alone")], "k long, y string").coalesce(1)
+    for left, right, want in ((a, b, a.join(b, ["k"])), (a.drop("k"), b.drop("k"), a.drop("k").crossJoin(b.drop("k")))):
+        got = relational.natural_join(left, right)
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        rows = sorted(got.collect(), key=str)
+        assert rows == sorted(want.collect(), key=str)
+        most = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert most < len(rows) / 4  # one task made all of them
+    none = relational.natural_join(a.where("k < 0"), b)
+    assert none.count() == 0 and none.columns == ["k", "x", "y"]
+
+
 def test_range_and_salted_joins_equal_plain_ones(spark):
     rng = random.Random(3)
     points = spark.createDataFrame([(i, rng.uniform(-50, 50)) for i in range(200)], "i int, x double")

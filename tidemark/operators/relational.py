@@ -27,10 +27,52 @@ def topk_per_group(df: DataFrame, by: list[str], keys: list[Column], k: int, off
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n").between(offset + 1, offset + k)).drop("_n")
 
 
+#: Rows of a key on either side that meet in one cell of a natural join, pairs its tasks have on average, and its most tasks.
+SIDE = 1024
+PAIRS = 4_000_000
+TASKS = 20_000
+#: Keys up to which their sizes may be broadcast.
+KEYS = 100_000
+
+
 def natural_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
-    """On all common columns, which appear once; without any, every pair."""
+    """On all common columns, which appear once; without any, every pair.
+
+    The pairs of an inner join are counted first, by key. Where they are many, and more than the rows that have a
+    partner, `_celled_join` makes the same pairs; it reads both sides again, so these must not change between readings.
+    """
     common = [c for c in a.columns if c in b.columns]
-    return a.join(b, common, how) if common else a.crossJoin(b)
+    if how != "inner" or any(f'"type":"{k}"' in df.schema.json() for df in (a, b) for k in ("map", "variant", "interval")):  # these have no order
+        return a.join(b, common, how) if common else a.crossJoin(b)
+    both = _equal(a.groupBy(*common).agg(F.count("*").alias("_n")), b.groupBy(*common).agg(F.count("*").alias("_m")), common)
+    pairs = F.col("_n").cast("double") * F.col("_m")
+    k, rows, p = both.agg(F.count("*"), F.sum(F.col("_n") + F.col("_m")), F.sum(pairs)).first()
+    if k == 0 or p <= max(PAIRS, rows):
+        return _equal(a, b, common)
+    parts = both.select(*common, F.ceil(F.col("_n") / SIDE).cast("int").alias("_p"), F.ceil(F.col("_m") / SIDE).cast("int").alias("_q"))
+    return _celled_join(a, b, common, F.broadcast(parts) if k <= KEYS else parts, min(TASKS, -int(-p // PAIRS)))
+
+
+def _equal(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    return a.join(b, keys) if keys else a.crossJoin(b)
+
+
+def _celled_join(a: DataFrame, b: DataFrame, keys: list[str], parts: DataFrame, tasks: int) -> DataFrame:
+    """The inner join on `keys` where rows of a key are dealt into `_p` parts of `a` and `_q` parts of `b`.
+
+    Each two parts of a key meet in a cell of their own, which has some SIDE x SIDE pairs, and cells are spread over
+    `tasks`; a row goes to as many cells as the other side has parts. Rows are dealt by their hash, so that a task run
+    again deals them alike, together with the number of the row among equal ones, so that those too are spread.
+    """
+
+    def dealt(df: DataFrame, own: str, of: str, other: str, others: str) -> DataFrame:
+        copy = F.row_number().over(Window.partitionBy(*df.columns).orderBy(F.lit(0)))
+        got = _equal(df, parts, keys).withColumn("_copy", copy)
+        got = got.select(*df.columns, F.pmod(F.xxhash64(*df.columns, "_copy"), F.col(of)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other))
+        return got.repartition(tasks, *keys, "_i", "_j")  # a number that is asked for isn't coalesced
+
+    left, right = dealt(a, "_i", "_p", "_j", "_q"), dealt(b, "_j", "_q", "_i", "_p")
+    return left.join(right.hint("merge"), [*keys, "_i", "_j"]).drop("_i", "_j")
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float, on: list[str] | None = None) -> DataFrame:
