@@ -98,3 +98,16 @@ def test_boxes(spark):
     assert value(spark, G.quadratic_intersects(ball, b("LINESTRING(0 0 0, 2 2 2)"))) is True
     assert value(spark, G.quadratic_intersects(ball, b("LINESTRING(3 3 3, 4 4 4)"))) is False
     assert value(spark, G.quadratic_intersects(G.plane(0, 0, 1, -5), b("LINESTRING(0 0 4, 1 1 6)"))) is True
+
+
+def test_a_filter_works_a_box_out_once(spark):
+    texts = spark.createDataFrame([("LINESTRING(0 0 4, 1 1 6)",), ("POINT(9 9 5)",), ("POINT(9 9)",), ("POINT EMPTY",), (None,)], "g string")
+    box = G.box(F.col("g"))
+    for holds, want in (
+        (G.quadratic_intersects(G.plane(0, 0, 1, -5), box), [True, True, False, None, None]),
+        (G.quadratic_intersects(G.sphere(9, 9, 5, 0), box), [False, True, False, None, None]),
+        (G.intersects(box, G.make_rect(F.lit(0), F.lit(0), F.lit(2), F.lit(2))), [True, False, False, None, None]),
+    ):
+        assert [r[0] for r in texts.coalesce(1).select(holds).collect()] == want
+        plan = texts.where(holds)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1

@@ -6,6 +6,7 @@ A box is a struct of xmin, ymin, zmin, xmax, ymax, zmax (z null in the plane).
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ from pyspark.sql import functions as F
 NUMBER = r"([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value as a variable: a filter's own copies of an expression would each be worked out."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def srid(g: Column) -> Column:
     """ST_GETSRID of `WKT;srid`; -1 without one."""
     return F.coalesce(F.nullif(F.regexp_extract(g, r";\s*(-?\d+)", 1), F.lit("")).cast("int"), F.lit(-1))
@@ -25,13 +31,15 @@ def box(g: Column) -> Column:
     axes = F.transform(points, lambda p: F.transform(F.regexp_extract_all(p, F.lit(NUMBER), F.lit(1)), lambda n: n.cast("double")))
     axes = F.filter(axes, lambda p: F.size(p) >= 2)
 
-    def ends(i: int):
-        own = F.transform(axes, lambda p: F.get(p, F.lit(i)))
-        return F.array_min(own), F.array_max(own)
+    def made(axes: Column) -> Column:
+        def ends(i: int):
+            own = F.transform(axes, lambda p: F.get(p, F.lit(i)))
+            return F.array_min(own), F.array_max(own)
 
-    (x0, x1), (y0, y1), (z0, z1) = ends(0), ends(1), ends(2)
-    made = F.struct(x0.alias("xmin"), y0.alias("ymin"), z0.alias("zmin"), x1.alias("xmax"), y1.alias("ymax"), z1.alias("zmax"))
-    return F.when(F.size(axes) > 0, made)
+        (x0, x1), (y0, y1), (z0, z1) = ends(0), ends(1), ends(2)
+        return F.when(F.size(axes) > 0, F.struct(x0.alias("xmin"), y0.alias("ymin"), z0.alias("zmin"), x1.alias("xmax"), y1.alias("ymax"), z1.alias("zmax")))
+
+    return _once(axes, made)
 
 
 def make_rect(x0, y0, x1, y1) -> Column:
@@ -49,9 +57,13 @@ def make_box(x0, y0, z0, x1, y1, z1) -> Column:
 
 def intersects(a: Column, b: Column) -> Column:
     """ST_MBRINTERSECTS: boxes that touch intersect; z counts where both have it."""
-    flat = (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])
-    deep = (a["zmin"] <= b["zmax"]) & (b["zmin"] <= a["zmax"])
-    return flat & F.coalesce(deep, F.lit(True))
+
+    def meet(a: Column, b: Column) -> Column:
+        flat = (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])
+        deep = (a["zmin"] <= b["zmax"]) & (b["zmin"] <= a["zmax"])
+        return flat & F.coalesce(deep, F.lit(True))
+
+    return _once(F.struct(a.alias("a"), b.alias("b")), lambda both: meet(both["a"], both["b"]))
 
 
 def plane(a, b, c, d) -> list[float]:
@@ -94,14 +106,20 @@ def qsf(*v: float) -> list[float]:
 
 
 def quadratic(q: list[float], x: Column, y: Column, z: Column) -> Column:
-    """q0 x2 + q1 y2 + q2 z2 + q3 xy + q4 yz + q5 zx + q6 x + q7 y + q8 z + q9."""
-    terms = (x * x, y * y, z * z, x * y, y * z, z * x, x, y, z, F.lit(1.0))
-    return sum((F.lit(float(c)) * t for c, t in zip(q[1:], terms[1:])), F.lit(float(q[0])) * terms[0])
+    """q0 x2 + q1 y2 + q2 z2 + q3 xy + q4 yz + q5 zx + q6 x + q7 y + q8 z + q9; terms with a zero are left out."""
+    terms = (x * x, y * y, z * z, x * y, y * z, z * x, x, y, z)
+    made = [F.lit(float(c)) * t for c, t in zip(q, terms) if c != 0]
+    return reduce(lambda a, b: a + b, [*made, F.lit(float(q[9]))])
 
 
 def quadratic_intersects(q: list[float], b: Column) -> Column:
     """ST_QSFMBRINTERSECTS: the form changes its sign, or is zero, among a box's corners and centre."""
-    z0, z1 = F.coalesce(b["zmin"], F.lit(0.0)), F.coalesce(b["zmax"], F.lit(0.0))
-    at = [quadratic(q, x, y, z) for x in (b["xmin"], b["xmax"]) for y in (b["ymin"], b["ymax"]) for z in (z0, z1)]
-    at.append(quadratic(q, (b["xmin"] + b["xmax"]) / 2, (b["ymin"] + b["ymax"]) / 2, (z0 + z1) / 2))
-    return (F.least(*at) <= 0) & (F.greatest(*at) >= 0)
+
+    def values(b: Column) -> Column:
+        z0, z1 = F.coalesce(b["zmin"], F.lit(0.0)), F.coalesce(b["zmax"], F.lit(0.0))
+        at = [quadratic(q, x, y, z) for x in (b["xmin"], b["xmax"]) for y in (b["ymin"], b["ymax"]) for z in (z0, z1)]
+        at.append(quadratic(q, (b["xmin"] + b["xmax"]) / 2, (b["ymin"] + b["ymax"]) / 2, (z0 + z1) / 2))
+        flat = b["xmin"].isNotNull() & b["ymin"].isNotNull() & b["xmax"].isNotNull() & b["ymax"].isNotNull()
+        return F.when(flat, F.array(*at))
+
+    return _once(_once(b, values), lambda v: (F.array_min(v) <= 0) & (F.array_max(v) >= 0))
